@@ -1,6 +1,6 @@
 """Queries over the given tables, one per operator."""
 
-from . import cards
+from . import cards, cells, predictions, sheets
 from .registry import BUILDS, ORACLES
 
-__all__ = ["BUILDS", "ORACLES", "cards"]
+__all__ = ["BUILDS", "ORACLES", "cards", "cells", "predictions", "sheets"]
