@@ -88,7 +88,7 @@ def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = li.groupBy("page", "y", "x").agg((F.max("v") % 256).alias("v"))
     blank = (
         li.select("page").distinct()
-        .select("page", F.explode(F.sequence(F.lit(0), F.lit(PAGE_H - 1))).cast("bigint").alias("y"))
+        .select("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAGE_H - 1).cast("bigint"))).alias("y"))
     )
     rows = px.unionByName(blank, allowMissingColumns=True).groupBy("page", "y").agg(
         F.map_from_entries(
