@@ -595,35 +595,28 @@ def fit_axis(
 
 
 def best_shift(pairs: DataFrame, max_shift: int = 40) -> DataFrame:
-    """Whole shift maximising the product of two normalised profiles; the first of equals."""
-    def centred(a: str) -> Column:
-        mean = F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-        return F.transform(a, lambda v: v - mean)
-
-    def norm(a: str) -> Column:
-        n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
-        return F.when(n > 0, n).otherwise(1.0)
-
-    x = pairs.select("page", centred("ref").alias("_a"), centred("v").alias("_b"))
-    dot = F.transform(
-        F.sequence(F.lit(-max_shift), F.lit(max_shift)),
-        lambda s: F.struct(
-            F.round(
-                F.aggregate(
-                    F.zip_with(
-                        F.slice("_a", F.greatest(F.lit(0), -s) + 1, F.size("_a")),
-                        F.slice("_b", F.greatest(F.lit(0), s) + 1, F.size("_b")),
-                        lambda p, q: F.coalesce(p * q, F.lit(0.0)),
-                    ),
-                    F.lit(0.0), lambda acc, v: acc + v,
-                ) / (norm("_a") * norm("_b")), 9,
-            ).alias("score"),
-            (-s).alias("m"),
-        ),
-    )
-    return x.select("page", F.array_max(dot).alias("b")).select(
-        "page", (-F.col("b.m")).cast("bigint").alias("shift"), F.round("b.score", 6).alias("score")
-    )
+    """Whole shift maximising the product of two normalised profiles; the first of equals.
+
+    Both profiles of a page sit in one row, so all shifts are one correlation, and no shuffle.
+    """
+    def unit(a) -> np.ndarray:
+        a = np.asarray(a) - np.mean(a)
+        return a / (np.sqrt((a * a).sum()) or 1.0)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for page, ref, v in zip(pdf["page"], pdf["ref"], pdf["v"], strict=True):
+                a, b = unit(ref), unit(v)
+                full = np.round(np.correlate(b, a, "full"), 9)  # entry len(a)-1 is shift 0
+                lo, hi = max(-max_shift, 1 - len(a)), min(max_shift, len(b) - 1)
+                part = full[len(a) - 1 + lo : len(a) + hi]
+                k = int(np.argmax(part))
+                out.append((page, k + lo, float(part[k])))
+            yield pd.DataFrame(out, columns=["page", "shift", "score"])
+
+    found = pairs.select("page", "ref", "v").mapInPandas(run, "page bigint, shift bigint, score double")
+    return found.withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- digits
