@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,15 +91,58 @@ def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -
     )
 
 
+BOXES = "page bigint, label bigint, min_x bigint, max_x bigint, min_y bigint, max_y bigint, count bigint"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boxes of the pieces of many pages at once; each row holds a page's runs, sorted."""
+    for batch in batches:
+        pages = batch.column("page").to_numpy(zero_copy_only=False)
+        y, x0, x1 = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x0", "x1"))
+        if len(y) == 0:
+            continue
+        owner = np.repeat(np.arange(len(pages)), batch.column("y").value_lengths().to_numpy(zero_copy_only=False))
+        line = (owner << 40) + (y << 20)
+        # Runs of the next line that a run touches are a range of the sorted runs.
+        first = np.searchsorted(line + x1 + 1, line + (1 << 20) + x0, "left")
+        last = np.searchsorted(line + x0 + 1, line + (1 << 20) + x1 + 2, "right")
+        n = np.maximum(last - first, 0)
+        a = np.repeat(np.arange(len(y)), n)
+        b = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        label = np.arange(len(y))
+        while True:
+            least = label.copy()
+            np.minimum.at(least, a, label[b])
+            np.minimum.at(least, b, label[a])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        order = np.argsort(label, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
+        root = label[order][starts]
+
+        def per_piece(op, v, order=order, starts=starts):
+            return op.reduceat(v[order], starts)
+
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (
+                pages[owner[root]], (y * 65536 + x0)[root], per_piece(np.minimum, x0), per_piece(np.maximum, x1),
+                per_piece(np.minimum, y), per_piece(np.maximum, y), per_piece(np.add, x1 - x0 + 1),
+            )], names=["page", "label", "min_x", "max_x", "min_y", "max_y", "count"],
+        )
+
+
 def components(mask: DataFrame, min_pixels: int = 1) -> DataFrame:
-    """8-connected pieces of 0/1 masks: `(page, label, min_x, max_x, min_y, max_y, count)`."""
-    runs = line_runs(mask)
-    labels = label_components(runs, run_edges(runs))
-    c = F.col
-    return runs.join(labels, ["page", "node"]).groupBy("page", "label").agg(
-        F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
-        F.sum(c("x1") - c("x0") + 1).alias("count"),
-    ).filter(c("count") >= min_pixels)
+    """8-connected pieces of 0/1 masks: `(page, label, min_x, max_x, min_y, max_y, count)`.
+
+    Pieces never leave their page or crop, whose size is that of a sheet of paper. So the runs
+    of a page meet in one row, in a single shuffle, and pages are labelled many to a batch.
+    For graphs whose groups have no such bound there is `label_components`.
+    """
+    packed = line_runs(mask).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("r"))
+    rows = packed.select("page", *[F.col(f"r.{c}").alias(c) for c in ("y", "x0", "x1")])
+    return rows.mapInArrow(_pieces, BOXES).filter(F.col("count") >= min_pixels)
 
 
 def find_marks(clean: DataFrame, close: int = 2, min_pixels: int = 4) -> DataFrame:

@@ -394,21 +394,27 @@ def ink_mask(
 
 # ---------------------------------------------------------------- geometry
 def quarter_turn(lines: DataFrame, turns: int) -> DataFrame:
-    """Exact clockwise quarter turns. A half turn never leaves the line."""
+    """Exact clockwise quarter turns.
+
+    A page's lines meet in one row and are read the other way; pixels are never rows.
+    """
     t = turns % 4
     if t == 0:
         return lines
-    height = lines.groupBy("page").agg(F.count(F.lit(1)).alias("_h"))
-    x = lines.join(height, "page")
+    ordered = F.array_sort(F.collect_list(F.struct("y", "px")))
+    pages = lines.groupBy("page").agg(F.transform(ordered, lambda s: s["px"]).alias("_l"))
+    pages = pages.withColumn("_w", F.size(F.get("_l", F.lit(0))))
     if t == 2:
-        return x.select("page", (F.col("_h") - 1 - F.col("y")).alias("y"), F.reverse("px").alias("px"))
-    px = x.select("page", "y", "_h", F.size("px").alias("_w"), F.posexplode("px").alias("x", "v"))
-    if t == 1:
-        px = px.select("page", F.col("x").cast("bigint").alias("ny"), (F.col("_h") - 1 - F.col("y")).alias("nx"), "v")
-    else:
-        px = px.select("page", (F.col("_w") - 1 - F.col("x")).cast("bigint").alias("ny"), F.col("y").alias("nx"), "v")
-    line = F.transform(F.array_sort(F.collect_list(F.struct("nx", "v"))), lambda s: s["v"])
-    return px.groupBy("page", F.col("ny").alias("y")).agg(line.alias("px"))
+        return pages.select("page", F.posexplode(F.reverse("_l")).alias("y", "px")).select(
+            "page", F.col("y").cast("bigint").alias("y"), F.reverse("px").alias("px")
+        )
+    # One output line per source column: for one turn bottom to top, for three from the right.
+    stack = F.reverse("_l") if t == 1 else F.col("_l")
+    column = F.col("y") if t == 1 else F.col("_w") - 1 - F.col("y")
+    opened = pages.select("page", stack.alias("_l"), "_w", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("y"))
+    return opened.select(
+        "page", F.col("y").cast("bigint").alias("y"), F.transform("_l", lambda line: F.get(line, column)).alias("px")
+    )
 
 
 def _with_next(lines: DataFrame) -> DataFrame:

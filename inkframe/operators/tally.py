@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.readings import tally_confidence
-from ..functions.rounding import half_up
 from .islands import thin_runs, upper_median
 
 # Fixed values of the counter.
@@ -145,60 +144,41 @@ def strongest_line(
     """The longest unbroken straight run of ink per group, over angles and bands across them.
 
     `ink` is `(page, x, y)`. Groups denser than `max_ink` are declined before any of this, so
-    what is left fits one row: it is gathered once, and angles are tried on it without a
-    shuffle. Of equal runs the first angle and band wins.
+    what is left fits one row. Opening every pixel to every angle and band would carry the ink
+    through a shuffle more than a hundred times over; gathered once, it is voted on in Arrow
+    batches. Of equal runs the first angle and band wins.
     """
     dense = ink.groupBy("page").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_ink)
     packed = ink.join(dense.select("page"), "page", "left_semi").groupBy("page").agg(
-        F.collect_list(F.struct("x", "y")).alias("p")
+        F.collect_list(F.col("x").cast("int")).alias("x"), F.collect_list(F.col("y").cast("int")).alias("y")
     )
-    angles = F.array(*[
-        F.struct(F.lit(a).alias("angle"), F.lit(round(math.cos(math.radians(a)), 12)).alias("c"),
-                 F.lit(round(math.sin(math.radians(a)), 12)).alias("s"))
-        for a in range(0, 180, step)
-    ])
-    x = packed.select("page", "p", F.inline(angles))
-    votes = F.flatten(F.transform("p", lambda q: F.transform(
-        F.sequence(F.lit(-half_band), F.lit(half_band)),
-        lambda d: F.struct(
-            (half_up(q["y"] * F.col("c") - q["x"] * F.col("s")) + d).alias("band"),
-            F.round(q["x"] * F.col("c") + q["y"] * F.col("s"), 6).alias("u"),
-        ),
-    )))
-    # Fold over the votes in order of band and place: the open run and the longest of the band
-    # so far, which counts once the band has members enough.
-    empty = F.struct(
-        F.lit(None).cast("bigint").alias("band"), F.lit(0.0).alias("first"), F.lit(0.0).alias("last"),
-        F.lit(0).alias("members"), F.lit(0.0).alias("longest"), F.lit(0.0).alias("best"),
-        F.lit(None).cast("bigint").alias("at"),
-    )
-
-    def closed(acc: Column) -> tuple[Column, Column]:
-        counts = (acc["members"] >= min_members) & (acc["longest"] >= min_length) & (acc["longest"] > acc["best"])
-        return F.when(counts, acc["longest"]).otherwise(acc["best"]), F.when(counts, acc["band"]).otherwise(acc["at"])
-
-    def walk(acc: Column, v: Column) -> Column:
-        same_band = F.coalesce(acc["band"] == v["band"], F.lit(False))
-        first = F.when(same_band & (v["u"] - acc["last"] <= max_gap), acc["first"]).otherwise(v["u"])
-        span = F.round(v["u"] - first, 6)
-        best, at = closed(acc)
-        return F.struct(
-            v["band"].alias("band"), first.alias("first"), v["u"].alias("last"),
-            (F.when(same_band, acc["members"]).otherwise(0) + 1).alias("members"),
-            F.when(same_band, F.greatest(acc["longest"], span)).otherwise(0.0).alias("longest"),
-            F.when(same_band, acc["best"]).otherwise(best).alias("best"),
-            F.when(same_band, acc["at"]).otherwise(at).alias("at"),
-        )
-
-    def finish(acc: Column) -> Column:
-        best, at = closed(acc)
-        return F.struct(best.alias("best"), at.alias("at"))
-
-    run = F.aggregate(F.array_sort(votes), empty, walk, finish)
-    scored = x.select("page", "angle", run.alias("r")).filter(F.col("r.at").isNotNull())
-    return scored.groupBy("page").agg(
-        F.max(F.struct(F.col("r.best").alias("length"), (-F.col("angle")).alias("m"), F.col("r.at").alias("band"))).alias("b")
-    ).select("page", (-F.col("b.m")).cast("bigint").alias("angle"), "b.band", "b.length")
+    angles = np.arange(0, 180, step)
+    cos, sin = np.round(np.cos(np.deg2rad(angles)), 12), np.round(np.sin(np.deg2rad(angles)), 12)
+    around = np.arange(-half_band, half_band + 1)
+
+    def longest(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float] | None:
+        u = np.round(x * cos[:, None] + y * sin[:, None], 6)
+        band = np.floor(y * cos[:, None] - x * sin[:, None] + 0.5).astype(np.int64)
+        a = np.repeat(np.arange(len(angles)), len(x) * len(around))
+        b = (band[:, :, None] + around).ravel()
+        u = np.repeat(u.ravel(), len(around))
+        order = np.lexsort((u, b, a))
+        a, b, u = a[order], b[order], u[order]
+        new_band = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        new_run = new_band | np.r_[True, u[1:] - u[:-1] > max_gap]
+        starts = np.flatnonzero(new_run)
+        ends = np.r_[starts[1:], len(u)] - 1
+        members = np.diff(np.r_[np.flatnonzero(new_band), len(u)])[np.cumsum(new_band)[starts] - 1]
+        span = np.where(members >= min_members, np.round(u[ends] - u[starts], 6), -1.0)
+        k = int(np.argmax(span))
+        return (int(angles[a[starts[k]]]), int(b[starts[k]]), float(span[k])) if span[k] >= min_length else None
+
+    def run(batches):
+        for pdf in batches:
+            found = [(p, longest(x, y)) for p, x, y in zip(pdf["page"], pdf["x"], pdf["y"], strict=True)]
+            yield pd.DataFrame([(p, *f) for p, f in found if f], columns=["page", "angle", "band", "length"])
+
+    return packed.mapInPandas(run, "page bigint, angle bigint, band bigint, length double")
 
 
 def vertical_rules(mask: DataFrame, width: int, height: int) -> DataFrame:

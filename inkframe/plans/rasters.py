@@ -345,15 +345,15 @@ def q_moments(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ alignment
-@query("q_skew", with_views(f"""WITH s AS (
-  SELECT page, x // 2 AS x, y // 2 AS y, 255 - v AS v FROM raster WHERE x % 2 = 0 AND y % 2 = 0),
-r AS (SELECT page, k, y + CAST(floor((x - {PAGE_W // 2 / 2}e0) * tan(radians(-2e0 + k * 0.1e0)) + 0.5e0) AS BIGINT) AS r, sum(v) AS v
+@query("q_skew", with_views(f"""WITH s AS (SELECT page, x, y, 255 - v AS v FROM raster),
+r AS (SELECT page, k, y + CAST(floor((x - {PAGE_W / 2}e0) * tan(radians(-10e0 + k * 0.5e0)) + 0.5e0) AS BIGINT) AS r, sum(v) AS v
   FROM s, (SELECT CAST(range AS BIGINT) AS k FROM range(41)) GROUP BY ALL),
-c AS (SELECT page, k, CAST(sum(v * v) * {PAGE_H // 2} - sum(v) * sum(v) AS BIGINT) AS score FROM r WHERE r >= 0 AND r < {PAGE_H // 2} GROUP BY page, k)
-SELECT page, round(k * 0.1e0 - 2e0, 6) AS deg, score FROM c
+c AS (SELECT page, k, CAST(sum(v * v) * {PAGE_H} - sum(v) * sum(v) AS BIGINT) AS score FROM r WHERE r >= 0 AND r < {PAGE_H} GROUP BY page, k)
+SELECT page, round(k * 0.5e0 - 10e0, 6) AS deg, score FROM c
 QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, k) = 1""", "raster"))
 def q_skew(spark, sf_dir):
-    return raster.skew_angle(views.scanlines(spark, sf_dir), PAGE_W, PAGE_H, sub=2)
+    """Angles up to ten degrees, at full scale: the derived pages are small."""
+    return raster.skew_angle(views.scanlines(spark, sf_dir), PAGE_W, PAGE_H, max_deg=10, step=0.5, sub=1)
 
 
 def paired_profiles(spark, sf_dir):

@@ -50,7 +50,7 @@ def job_values(spark, sf_dir):
     ).agg(
         (F.max(whole("l_quantity")) - 1).alias("value"),
         ((F.max("l_partkey") % 100) / F.lit(100.0)).alias("confidence"),
-        F.when(F.max("l_returnflag") == "R", "manual").otherwise("recognized").alias("source"),
+        F.when(F.bool_or(F.col("l_returnflag") == "R"), "manual").otherwise("recognized").alias("source"),
     )
 
 

@@ -77,29 +77,23 @@ SQL["raster"] = (("ras_px",), f"""
 def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(page, y, px)`: one row per raster line, missing pixels are paper.
 
-    Pixels are reduced before they are gathered, so a line never holds more than its width.
+    A line is one aggregation buffer, a slot per column, so pixels are reduced before the shuffle
+    and a line of a hot page costs no more than any other.
     """
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("page"),
         (F.col("l_partkey") % PAGE_W).alias("x"),
         (whole("l_quantity") - 1).alias("y"),
-        F.floor("l_extendedprice").cast("bigint").alias("v"),
+        F.floor("l_extendedprice").cast("int").alias("v"),
     )
-    px = li.groupBy("page", "y", "x").agg((F.max("v") % 256).alias("v"))
-    blank = (
-        li.select("page").distinct()
-        .select("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAGE_H - 1).cast("bigint"))).alias("y"))
-    )
-    rows = px.unionByName(blank, allowMissingColumns=True).groupBy("page", "y").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "v")))
-        ).alias("_m")
-    )
-    line = F.transform(
-        F.sequence(F.lit(0), F.lit(PAGE_W - 1)),
-        lambda i: F.coalesce(F.element_at("_m", i.cast("bigint")), F.lit(255)).cast("smallint"),
+    slots = [F.max(F.when(F.col("x") == i, F.col("v"))).alias(f"p{i}") for i in range(PAGE_W)]
+    height = F.sequence(F.lit(0).cast("bigint"), F.lit(PAGE_H - 1).cast("bigint"))
+    blank = li.select("page").distinct().select("page", F.explode(height).alias("y"))
+    px = F.array(*[F.coalesce(F.col(f"p{i}") % 256, F.lit(255)).cast("smallint") for i in range(PAGE_W)])
+    return (
+        li.unionByName(blank, allowMissingColumns=True).groupBy("page", "y").agg(*slots)
+        .select("page", "y", px.alias("px"))
     )
-    return rows.select("page", "y", line.alias("px"))
 
 
 def pixels(lines: DataFrame) -> DataFrame:
@@ -173,7 +167,10 @@ SQL["readings"] = ((), """
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per `(event, card, item_row)` with what two readers said of it."""
+    """One row per `(event, card, item_row)` with what two readers said of it.
+
+    Flags are reduced as booleans: a maximum over strings would turn the aggregation into a sort.
+    """
     base = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
@@ -186,8 +183,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max(whole("l_quantity")).alias("q"),
             F.max("l_discount").alias("ink"),
             F.max("l_tax").alias("tally_ink"),
-            (F.max("l_linestatus") == "F").alias("has_value"),
-            (F.max("l_returnflag") != "R").alias("tally_marked"),
+            F.bool_and(F.col("l_linestatus") == "F").alias("has_value"),
+            F.bool_and(F.col("l_returnflag") != "R").alias("tally_marked"),
         )
     )
     h, q = F.col("h"), F.col("q")
@@ -289,7 +286,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("strip"), whole("l_linenumber").alias("k"))
         .agg(
             (F.max("l_partkey") * 31 + F.max(whole("l_quantity")) * 7).alias("_h"),
-            (F.max("l_returnflag") == "R").alias("is_bar"),
+            F.bool_or(F.col("l_returnflag") == "R").alias("is_bar"),
         )
     )
     h, k, bar = F.col("_h") + F.col("k"), F.col("k"), F.col("is_bar")
