@@ -233,31 +233,48 @@ def death_reasons(boxes: DataFrame, crop_height: int = 58) -> DataFrame:
 BOX_FIELDS = ("min_x", "k", "max_x", "min_y", "max_y", "count")
 
 
+def _joins(p: Column, b: Column) -> tuple[Column, Column]:
+    """Do two neighbouring boxes belong to one digit, and what they are together."""
+    low, high = F.least(p["min_y"], b["min_y"]), F.greatest(p["max_y"], b["max_y"])
+    left, right = F.least(p["min_x"], b["min_x"]), F.greatest(p["max_x"], b["max_x"])
+    height = high - low + 1
+    overlap = F.least(p["max_x"], b["max_x"]) - F.greatest(p["min_x"], b["min_x"])
+    narrower = F.least(p["max_x"] - p["min_x"], b["max_x"] - b["min_x"]) + 1
+    beside = (b["min_x"] - p["max_x"] - 1 <= height * F.lit(FRAGMENT_GAP)) & (
+        right - left + 1 <= height * F.lit(JOINED_WIDTH)
+    )
+    together = F.struct(
+        left.alias("min_x"), p["k"].alias("k"), right.alias("max_x"), low.alias("min_y"), high.alias("max_y"),
+        (p["count"] + b["count"]).alias("count"),
+    )
+    return (overlap > narrower * F.lit(0.5)) | beside, together
+
+
+BOX = "struct<" + ",".join(f"{n}:bigint" for n in BOX_FIELDS) + ">"
+
+
 def _merged(boxes: Column) -> Column:
     """Left-to-right fold: a box joins the one before when they overlap or are two parts of a digit."""
     def step(acc: Column, b: Column) -> Column:
-        p = F.element_at(acc, -1)
-        low, high = F.least(p["min_y"], b["min_y"]), F.greatest(p["max_y"], b["max_y"])
-        left, right = F.least(p["min_x"], b["min_x"]), F.greatest(p["max_x"], b["max_x"])
-        height = high - low + 1
-        overlap = F.least(p["max_x"], b["max_x"]) - F.greatest(p["min_x"], b["min_x"])
-        narrower = F.least(p["max_x"] - p["min_x"], b["max_x"] - b["min_x"]) + 1
-        beside = (b["min_x"] - p["max_x"] - 1 <= height * F.lit(FRAGMENT_GAP)) & (
-            right - left + 1 <= height * F.lit(JOINED_WIDTH)
-        )
-        both = F.struct(
-            left.alias("min_x"), p["k"].alias("k"), right.alias("max_x"), low.alias("min_y"), high.alias("max_y"),
-            (p["count"] + b["count"]).alias("count"),
-        )
-        joins = (F.size(acc) > 0) & ((overlap > narrower * F.lit(0.5)) | beside)
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(
-            F.concat(acc, F.array(b))
+        joins, together = _joins(F.element_at(acc, -1), b)
+        return F.when(F.size(acc) == 0, F.array(b)).when(
+            joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(together))
+        ).otherwise(F.concat(acc, F.array(b)))
+
+    return F.aggregate(boxes, F.array().cast(f"array<{BOX}>"), step)
+
+
+def _merged_count(boxes: Column) -> Column:
+    """How many boxes are left after the merge; only the open box is carried along."""
+    def step(acc: Column, b: Column) -> Column:
+        joins, together = _joins(acc["box"], b)
+        joined = (acc["n"] > 0) & joins
+        return F.struct(
+            F.when(joined, together).otherwise(b).alias("box"),
+            (acc["n"] + F.when(joined, 0).otherwise(1)).alias("n"),
         )
 
-    kind = "array<struct<" + ",".join(f"{n}:bigint" for n in BOX_FIELDS) + ">>"
-    return F.aggregate(boxes, F.array().cast(kind), lambda acc, b: F.when(
-        F.size(acc) == 0, F.array(b)
-    ).otherwise(step(acc, b)))
+    return F.aggregate(boxes, F.struct(F.lit(None).cast(BOX).alias("box"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
 
 
 def _per_crop(boxes: DataFrame) -> DataFrame:
@@ -284,31 +301,33 @@ def sweep_shape(boxes: DataFrame, truth: DataFrame, crop_height: int = 58,
                 values: dict[str, Sequence[float]] = SWEEP) -> DataFrame:
     """Move one shape constant at a time and count crops cut right, not at all, and over.
 
-    A crop's boxes are gathered once and every setting is tried on that row, so the data
-    does not multiply by the number of settings before it is aggregated.
+    A crop's boxes are gathered once and the settings are tried on that row; only their
+    counts are shuffled.
     """
-    settings = [(p, v, {**SHIPPING, p: v}) for p, vs in values.items() for v in vs]
-
-    def pieces(s: dict[str, float]) -> Column:
-        def w(b):
-            return b["max_x"] - b["min_x"] + 1
+    table = F.array(*[
+        F.struct(
+            F.lit(p).alias("param"), F.lit(float(v)).alias("setting"),
+            *[F.lit(float({**SHIPPING, p: v}[name])).alias(f"_{name}") for name in SHIPPING],
+        )
+        for p, vs in values.items() for v in vs
+    ])
 
-        def h(b):
-            return b["max_y"] - b["min_y"] + 1
+    def w(b: Column) -> Column:
+        return b["max_x"] - b["min_x"] + 1
 
-        shaped = F.filter("boxes", lambda b: ~(
-            (h(b) < crop_height * s["short"]) | (w(b) / h(b) > s["bar"]) | (b["count"] < w(b) * h(b) * F.lit(s["hollow"]))
-        ))
-        tallest = F.array_max(F.transform(shaped, h))
-        return F.size(_merged(F.filter(shaped, lambda b: h(b) >= tallest * F.lit(SPECK))))
+    def h(b: Column) -> Column:
+        return b["max_y"] - b["min_y"] + 1
 
-    x = _per_crop(boxes).join(truth, "crop")
-    rows = F.array(*[
-        F.struct(F.lit(p).alias("param"), F.lit(float(v)).alias("setting"), pieces(s).alias("n")) for p, v, s in settings
-    ])
-    length = F.col("digits")
-    return x.select("digits", F.inline(rows)).groupBy("param", "setting").agg(
-        F.count_if(F.col("n") == length).alias("cut_right"),
-        F.count_if((F.col("n") == 0) & (length != 0)).alias("cut_none"),
-        F.count_if(F.col("n") > length).alias("cut_over"),
+    shaped = F.filter("boxes", lambda b: ~(
+        (h(b) < F.col("_short") * crop_height) | (w(b) / h(b) > F.col("_bar"))
+        | (b["count"] < w(b) * h(b) * F.col("_hollow"))
+    ))
+    x = _per_crop(boxes).join(truth, "crop").select("boxes", "digits", F.inline(table)).withColumn("_s", shaped)
+    x = x.withColumn("_least", F.array_max(F.transform("_s", h)) * F.lit(SPECK))
+    n, length = F.col("n"), F.col("digits")
+    counted = x.withColumn("n", _merged_count(F.filter("_s", lambda b: h(b) >= F.col("_least"))))
+    return counted.groupBy("param", "setting").agg(
+        F.count_if(n == length).alias("cut_right"),
+        F.count_if((n == 0) & (length != 0)).alias("cut_none"),
+        F.count_if(n > length).alias("cut_over"),
     )

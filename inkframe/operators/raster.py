@@ -421,6 +421,40 @@ def _with_next(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_next", F.lead("px").over(_by_y()))
 
 
+def _mixed():
+    """Pixels `lo..hi` of target lines, each mixed from two source lines, bilinear and truncated.
+
+    Target pixel `i` lies at `cx + (i-cx)*c + kx` along the upper line `a` and `cy - (i-cx)*s + ky - y0`
+    of the way to the lower line `b`. Whole Arrow batches are gathered at once.
+    """
+    @F.pandas_udf("array<smallint>")
+    def mix(a: pd.Series, b: pd.Series, at: pd.DataFrame) -> pd.Series:
+        lo, n = at["lo"].to_numpy(), (at["hi"] - at["lo"] + 1).to_numpy()
+        both = (a.notna() & b.notna()).to_numpy()
+        width = np.array([len(v) if ok else 0 for v, ok in zip(a, both, strict=True)])
+        upper, lower = np.zeros((2, len(a), max(int(width.max(initial=0)), 2)))
+        for r in np.flatnonzero(both):
+            upper[r, : width[r]], lower[r, : width[r]] = a.iat[r], b.iat[r]
+        row = np.repeat(np.arange(len(a)), n)
+        ends = np.cumsum(n)
+        i = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + lo[row]
+        p = {c: at[c].to_numpy()[row] for c in ("cx", "c", "kx", "cy", "s", "ky", "y0")}
+        x = p["cx"] + (i - p["cx"]) * p["c"] + p["kx"]
+        y = p["cy"] - (i - p["cx"]) * p["s"] + p["ky"]
+        x0 = np.floor(x).astype(np.int64)
+        fx, fy = x - x0, y - p["y0"]
+        inside = (x0 >= 0) & (x0 + 1 < width[row])
+        x0 = np.where(inside, x0, 0)
+        v = (
+            upper[row, x0] * (1 - fx) * (1 - fy) + upper[row, x0 + 1] * fx * (1 - fy)
+            + lower[row, x0] * (1 - fx) * fy + lower[row, x0 + 1] * fx * fy
+        )
+        out = np.where(inside, np.floor(v), 255).astype(np.int16)
+        return pd.Series(np.split(out, ends[:-1]) if len(ends) else [], dtype=object)
+
+    return mix
+
+
 def resample(lines: DataFrame, fits: DataFrame, width: int, height: int) -> DataFrame:
     """Bring pages to reference size by per-axis `scale*i + offset`, bilinear, truncated.
 
@@ -429,21 +463,15 @@ def resample(lines: DataFrame, fits: DataFrame, width: int, height: int) -> Data
     """
     target = fits.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
         "_t", F.col("sy") * F.col("y") + F.col("oy")
-    ).withColumn("_y0", F.floor("_t").cast("bigint")).withColumn("_fy", F.col("_t") - F.col("_y0"))
+    ).withColumn("_y0", F.floor("_t").cast("bigint"))
     source = _with_next(lines).select("page", F.col("y").alias("_y0"), F.col("px").alias("_a"), F.col("_next").alias("_b"))
     x = target.join(source, ["page", "_y0"], "left")
-
-    def pixel(i: Column) -> Column:
-        t = F.col("sx") * i + F.col("ox")
-        x0 = F.floor(t)
-        fx, fy = t - x0, F.col("_fy")
-        a0, a1, b0, b1 = _at(F.col("_a"), x0), _at(F.col("_a"), x0 + 1), _at(F.col("_b"), x0), _at(F.col("_b"), x0 + 1)
-        mix = a0 * (1 - fx) * (1 - fy) + a1 * fx * (1 - fy) + b0 * (1 - fx) * fy + b1 * fx * fy
-        return F.coalesce(F.floor(mix), F.lit(255)).cast("smallint")
-
-    return x.select(
-        "page", F.col("y").cast("bigint").alias("y"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), pixel).alias("px")
+    zero = F.lit(0.0)
+    at = F.struct(
+        F.lit(0).alias("lo"), F.lit(width - 1).alias("hi"), zero.alias("cx"), F.col("sx").alias("c"), F.col("ox").alias("kx"),
+        zero.alias("cy"), zero.alias("s"), F.col("_t").alias("ky"), F.col("_y0").cast("double").alias("y0"),
     )
+    return x.select("page", F.col("y").cast("bigint").alias("y"), _mixed()("_a", "_b", at).alias("px"))
 
 
 def rotate(lines: DataFrame, angles: DataFrame) -> DataFrame:
@@ -457,29 +485,21 @@ def rotate(lines: DataFrame, angles: DataFrame) -> DataFrame:
         "page", "h", "w", F.cos(F.radians("deg")).alias("c"), F.sin(F.radians("deg")).alias("s"),
         (F.col("w") / 2).alias("cx"), (F.col("h") / 2).alias("cy"),
     )
-    sx = F.col("cx") + (F.col("x") - F.col("cx")) * F.col("c") + (F.col("y") - F.col("cy")) * F.col("s")
-    sy = F.col("cy") - (F.col("x") - F.col("cx")) * F.col("s") + (F.col("y") - F.col("cy")) * F.col("c")
+    ky = (F.col("y") - F.col("cy")) * F.col("c")
+    sy = F.col("cy") - (F.col("x") - F.col("cx")) * F.col("s") + ky
     target = geo.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("h") - 1))).withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))
     )
-    pieces = target.groupBy("page", "y", F.floor(sy).cast("bigint").alias("_y0"), "c", "s", "cx", "cy").agg(
-        F.min("x").alias("_from"), F.max("x").alias("_to")
+    pieces = target.groupBy("page", "y", F.floor(sy).cast("bigint").alias("_y0")).agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), *[F.first(c).alias(c) for c in ("c", "s", "cx", "cy")]
     )
     source = _with_next(lines).select("page", F.col("y").alias("_y0"), F.col("px").alias("_a"), F.col("_next").alias("_b"))
-
-    def pixel(i: Column) -> Column:
-        px = F.col("cx") + (i - F.col("cx")) * F.col("c") + (F.col("y") - F.col("cy")) * F.col("s")
-        py = F.col("cy") - (i - F.col("cx")) * F.col("s") + (F.col("y") - F.col("cy")) * F.col("c")
-        x0 = F.floor(px)
-        fx, fy = px - x0, py - F.col("_y0")
-        a0, a1, b0, b1 = _at(F.col("_a"), x0), _at(F.col("_a"), x0 + 1), _at(F.col("_b"), x0), _at(F.col("_b"), x0 + 1)
-        mix = a0 * (1 - fx) * (1 - fy) + a1 * fx * (1 - fy) + b0 * (1 - fx) * fy + b1 * fx * fy
-        return F.coalesce(F.floor(mix), F.lit(255)).cast("smallint")
-
-    part = pieces.join(source, ["page", "_y0"], "left").select(
-        "page", "y", "_from", F.transform(F.sequence("_from", "_to"), pixel).alias("_p")
+    at = F.struct(
+        "lo", "hi", "cx", "c", ((F.col("y") - F.col("cy")) * F.col("s")).alias("kx"), "cy", "s", ky.alias("ky"),
+        F.col("_y0").cast("double").alias("y0"),
     )
-    line = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_p"))), lambda s: s["_p"]))
+    part = pieces.join(source, ["page", "_y0"], "left").select("page", "y", "lo", _mixed()("_a", "_b", at).alias("_p"))
+    line = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "_p"))), lambda s: s["_p"]))
     return part.groupBy("page", "y").agg(line.alias("px"))
 
 
