@@ -179,34 +179,28 @@ def _between() -> Column:
     return w_b * w_f * (m_b - m_f) * (m_b - m_f)
 
 
-def otsu_threshold(lines: DataFrame) -> DataFrame:
-    """Level separating ink from paper best; the first of equals. One-level pages give 0."""
-    return _otsu(histogram(lines))
+def _otsu() -> Column:
+    """Best-separating level of a page's histogram rows; 0 where there is only one level."""
+    scored = F.struct(F.round(_between(), 6).alias("b"), (-F.col("v")).alias("m"))
+    return F.coalesce(-F.max(F.when(_between().isNotNull(), scored))["m"], F.lit(0))
 
 
-def _otsu(h: DataFrame) -> DataFrame:
-    first_best = F.max(
-        F.when(F.col("_b").isNotNull(), F.struct(F.round("_b", 6).alias("b"), (-F.col("v")).alias("m")))
-    )
-    return h.withColumn("_b", _between()).groupBy("page").agg(
-        F.coalesce(-first_best["m"], F.lit(0)).alias("otsu")
-    )
+def otsu_threshold(lines: DataFrame) -> DataFrame:
+    """Level separating ink from paper best; the first of equals."""
+    return histogram(lines).groupBy("page").agg(_otsu().alias("otsu"))
 
 
 def ink_threshold(lines: DataFrame) -> DataFrame:
-    """Relative threshold: -1 where a page has no contrast."""
-    h = histogram(lines)
+    """Relative threshold: -1 where a page has no contrast. One histogram serves all three levels."""
     def stat(rank: Column) -> Column:
         return F.min(F.when(F.col("seen") > rank, F.col("v")))
 
-    levels = h.groupBy("page").agg(
+    levels = histogram(lines).groupBy("page").agg(
         stat(F.floor(F.col("total") / 2)).alias("paper"),
-        stat(F.floor(F.col("total") * F.lit(0.02))).alias("dark"),
+        stat(F.floor(F.col("total") * F.lit(0.02))).alias("dark"), _otsu().alias("otsu"),
     )
     limit = F.greatest(F.lit(30), F.least(F.col("paper") - 45, F.col("otsu"), F.lit(200)))
-    return levels.join(_otsu(h), "page").withColumn(
-        "threshold", F.when(F.col("paper") - F.col("dark") < 25, -1).otherwise(limit)
-    )
+    return levels.withColumn("threshold", F.when(F.col("paper") - F.col("dark") < 25, -1).otherwise(limit))
 
 
 def composite(lines: DataFrame, group: Column, quantile: float) -> DataFrame:
@@ -270,20 +264,25 @@ def banner_overlap(banners: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def classify_side(lines: DataFrame, threshold: int = 150) -> DataFrame:
-    """Cheap side guess from two bands of the page, and whether they agree."""
-    size = lines.groupBy("page").agg(F.count(F.lit(1)).alias("h"), F.max(F.size("px")).alias("w"))
-
-    def band(f0: float, f1: float, name: str) -> DataFrame:
-        r = size.select(
-            "page", F.lit(0).alias("cell"), (F.col("w") * F.lit(0.05)).alias("x"), (F.col("h") * F.lit(f0)).alias("y"),
-            (F.col("w") * F.lit(0.9)).alias("w"), (F.col("h") * F.lit(f1 - f0)).alias("h"),
-        )
-        return ink_fraction(lines, r, threshold).select("page", F.col("ink").alias(name))
-
-    x = band(0.04, 0.06, "banner").join(band(0.9, 0.97, "footer"), "page")
+    """Cheap side guess from two bands of the page, and whether they agree. One pass over the lines."""
+    w, h = F.size("px"), F.col("_h")
+    x0, x1 = F.floor(w * F.lit(0.05)).cast("int"), F.least(w, F.ceil(w * F.lit(0.05) + w * F.lit(0.9)).cast("int"))
+    part = F.slice("px", x0 + 1, x1 - x0)
+    x = lines.select(
+        "page", "y", F.count(F.lit(1)).over(Window.partitionBy("page")).alias("_h"), F.size(part).alias("n"),
+        F.size(F.filter(part, lambda v: v < threshold)).alias("dark"),
+    )
+
+    def band(f0: float, f1: float) -> Column:
+        top = h * F.lit(f0)
+        inside = (F.col("y") >= F.floor(top)) & (F.col("y") < F.ceil(top + h * F.lit(f1 - f0)))
+        share = F.sum(F.when(inside, F.col("dark"))) / F.sum(F.when(inside, F.col("n")))
+        return F.round(F.coalesce(share, F.lit(0.0)), 9)
+
+    g = x.groupBy("page").agg(band(0.04, 0.06).alias("banner"), band(0.9, 0.97).alias("footer"))
     by_banner = F.when(F.col("banner") > 0.45, "back").otherwise("front")
     by_footer = F.when(F.col("footer") > 0.05, "front").otherwise("back")
-    return x.withColumn("side", by_banner).withColumn("agree", by_banner == by_footer)
+    return g.withColumn("side", by_banner).withColumn("agree", by_banner == by_footer)
 
 
 def best_side(fits: DataFrame, bar: float = 0.75) -> DataFrame:
@@ -313,9 +312,9 @@ def best_side(fits: DataFrame, bar: float = 0.75) -> DataFrame:
 
 
 # ---------------------------------------------------------------- neighbourhoods
-def _stack(r: int, combine) -> Column:
+def _stack(col: str, r: int, combine) -> Column:
     """Fold the lines within `r` of each line, elementwise."""
-    near = F.collect_list("px").over(_by_y().rowsBetween(-r, r))
+    near = F.collect_list(col).over(_by_y().rowsBetween(-r, r))
     return F.aggregate(
         F.slice(near, 2, 2 * r + 1), F.element_at(near, 1), lambda acc, line: F.zip_with(acc, line, combine)
     )
@@ -330,7 +329,7 @@ def _slide_max(px: Column, r: int) -> Column:
 def local_max(lines: DataFrame, r: int = 9) -> DataFrame:
     """Maximum filter of radius `r`, along lines and then across them."""
     rows = lines.withColumn("px", _slide_max(F.col("px"), r))
-    return rows.withColumn("px", _stack(r, lambda a, b: F.greatest(a, b)))
+    return rows.withColumn("px", _stack("px", r, lambda a, b: F.greatest(a, b)))
 
 
 def dilate(mask: DataFrame, r: int = 2) -> DataFrame:
@@ -355,23 +354,35 @@ def stencil3(lines: DataFrame) -> DataFrame:
 
 
 def raw_ink(lines: DataFrame, depth: int = 22, window: int = 9) -> DataFrame:
-    """1 where a pixel is at least `depth` below its local paper level."""
-    paper = local_max(lines, window).select("page", "y", F.col("px").alias("_p"))
+    """1 where a pixel is at least `depth` below its local paper level.
+
+    The line itself rides along with the filter, so nothing is joined back.
+    """
+    along = lines.withColumn("_p", _slide_max(F.col("px"), window))
+    paper = along.withColumn("_p", _stack("_p", window, lambda a, b: F.greatest(a, b)))
     ink = F.zip_with("_p", "px", lambda p, v: F.when(p - v >= depth, 1).otherwise(0).cast("smallint"))
-    return lines.join(paper, ["page", "y"]).select("page", "y", ink.alias("px"))
+    return paper.select("page", "y", ink.alias("px"))
 
 
 def ink_mask(
     lines: DataFrame, *, depth: int = 22, window: int = 9, rule_frac: float = 0.5, rule_thick: int = 6,
     wall_frac: float = 0.5, wall_thick: int = 6, wall_edge: float = 0.25,
 ) -> DataFrame:
-    """Ink with printed rules (thin dark lines) and walls (thin dark columns near a side) struck."""
+    """Ink with printed rules (thin dark lines) and walls (thin dark columns near a side) struck.
+
+    Rules are found in the windows the lines already stand in. Walls need column sums, which
+    come down to one short list per page before they are joined.
+    """
     from .islands import thin_runs
 
     raw = raw_ink(lines, depth, window)
-    width = F.size("px")
-    dark_rows = raw.filter(_total(F.col("px")) >= width * F.lit(rule_frac)).select("page", F.col("y").alias("i"))
-    rules = thin_runs(dark_rows, ["page"], rule_thick).select("page", F.col("i").alias("y"), F.lit(True).alias("_rule"))
+    dark = _total(F.col("px")) >= F.size("px") * F.lit(rule_frac)
+    # Lines of one run of equal darkness share the count of changes before them.
+    x = raw.withColumn("_dark", dark)
+    x = x.withColumn("_turn", F.coalesce(F.col("_dark") != F.lag("_dark").over(_by_y()), F.lit(True)).cast("int"))
+    x = x.withColumn("_run", F.sum("_turn").over(_by_y().rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_long", F.count(F.lit(1)).over(Window.partitionBy("page", "_run")))
+    x = x.withColumn("_rule", F.col("_dark") & (F.col("_long") <= rule_thick))
     cols = (
         raw.select("page", F.size("px").alias("w"), F.posexplode("px").alias("i", "v"))
         .groupBy("page", "i").agg(F.sum("v").alias("n"), F.count(F.lit(1)).alias("h"), F.max("w").alias("w"))
@@ -381,15 +392,14 @@ def ink_mask(
     walls = thin_runs(cols.select("page", F.col("i").cast("bigint").alias("i"), "w"), ["page"], wall_thick, carry=["w"])
     walls = walls.filter((F.col("start") < edge) | (F.col("end") >= F.col("w") - edge))
     walls = walls.groupBy("page").agg(F.collect_list("i").alias("_walls"))
-    x = raw.join(rules, ["page", "y"], "left").join(walls, "page", "left")
     struck = F.transform(
         "px",
         lambda v, i: F.when(
-            F.col("_rule").isNotNull() | F.coalesce(F.array_contains("_walls", i.cast("bigint")), F.lit(False)),
+            F.col("_rule") | F.coalesce(F.array_contains("_walls", i.cast("bigint")), F.lit(False)),
             F.lit(0).cast("smallint"),
         ).otherwise(v),
     )
-    return x.select("page", "y", struck.alias("px"))
+    return x.join(walls, "page", "left").select("page", "y", struck.alias("px"))
 
 
 # ---------------------------------------------------------------- geometry
@@ -650,36 +660,39 @@ def normalise(ink: DataFrame, inner: int = 20, side: int = 28) -> DataFrame:
     """Set pixels `(page, x, y)` to a `side` by `side` coverage bitmap `(page, x, y, v)`.
 
     The ink's bounding box is scaled to fit `inner`, each target cell takes the covered share of
-    its source cells, and the centre of mass goes to the middle.
+    its source cells, and the centre of mass goes to the middle. A digit's pixels are
+    shuffled once: its box and its mass are windows over them, not joins.
     """
     c = F.col
-    box = ink.groupBy("page").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
-    ).select("page", "x0", "y0", (c("x1") - c("x0") + 1).alias("w"), (c("y1") - c("y0") + 1).alias("h"))
+    page = Window.partitionBy("page")
+    x = ink
+    for axis, size in (("x", "w"), ("y", "h")):
+        x = x.withColumn(f"_{axis}0", F.min(axis).over(page)).withColumn(
+            size, F.max(axis).over(page) - F.min(axis).over(page) + 1
+        )
     scale = F.lit(float(inner)) / F.greatest("w", "h")
-    box = box.withColumn("tw", F.greatest(F.lit(1), half_up(c("w") * scale))).withColumn(
-        "th", F.greatest(F.lit(1), half_up(c("h") * scale))
-    )
+    for target, size in (("tw", "w"), ("th", "h")):
+        x = x.withColumn(target, F.greatest(F.lit(1), half_up(c(size) * scale)))
 
-    def bins(length: str, target: str, start: str, cell: str, src: str) -> DataFrame:
-        b = box.withColumn(cell, F.explode(F.sequence(F.lit(0).cast("bigint"), c(target) - 1)))
-        lo = F.floor(c(cell) * c(length) / c(target)).cast("bigint")
-        hi = F.greatest(lo + 1, F.floor((c(cell) + 1) * c(length) / c(target)).cast("bigint"))
-        return b.select(
-            "page", cell, (hi - lo).alias(f"_n{src}"), F.explode(F.sequence(c(start) + lo, c(start) + hi - 1)).alias(src)
-        )
+    def cells(axis: str, size: str, target: str) -> Column:
+        """Target cells a source position falls into: one when shrinking, several when growing."""
+        r = c(axis) - c(f"_{axis}0")
+        last = F.floor(((r + 1) * c(target) - 1) / c(size)).cast("bigint")
+        return F.sequence(F.least(last, F.ceil(r * c(target) / c(size)).cast("bigint")), last)
+
+    def width(cell: str, size: str, target: str) -> Column:
+        lo = F.floor(c(cell) * c(size) / c(target))
+        return F.greatest(F.lit(1), F.floor((c(cell) + 1) * c(size) / c(target)) - lo)
 
     covered = (
-        ink.join(bins("w", "tw", "x0", "tx", "x"), ["page", "x"]).join(bins("h", "th", "y0", "ty", "y"), ["page", "y"])
-        .groupBy("page", "tx", "ty").agg((F.count(F.lit(1)) / (F.max("_nx") * F.max("_ny")) * 255).alias("v"))
-    )
-    mass = covered.groupBy("page").agg(
-        (F.sum(c("tx") * c("v")) / F.sum("v")).alias("cx"), (F.sum(c("ty") * c("v")) / F.sum("v")).alias("cy")
+        x.withColumn("tx", F.explode(cells("x", "w", "tw"))).withColumn("ty", F.explode(cells("y", "h", "th")))
+        .groupBy("page", "tx", "ty", "w", "h", "tw", "th").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("v", c("n") / (width("tx", "w", "tw") * width("ty", "h", "th")) * 255)
     )
+    cx, cy = (F.sum(c(t) * c("v")).over(page) / F.sum("v").over(page) for t in ("tx", "ty"))
     half = side / 2
-    placed = covered.join(mass, "page").select(
-        "page", (c("tx") + half_up(F.round(half - c("cx"), 9))).alias("x"),
-        (c("ty") + half_up(F.round(half - c("cy"), 9))).alias("y"),
+    placed = covered.select(
+        "page", (c("tx") + half_up(F.round(half - cx, 9))).alias("x"), (c("ty") + half_up(F.round(half - cy, 9))).alias("y"),
         F.least(F.lit(255), half_up(F.round("v", 9))).alias("v"),
     )
     return placed.filter(c("x").between(0, side - 1) & c("y").between(0, side - 1))

@@ -21,12 +21,10 @@ SAMPLES_SCHEMA = (
 EXEMPLAR_SCHEMA = "k int, digitAccuracy double, trainedOn array<string>, samples array<struct<label:int,b:string>>"
 
 
-def read_cell_map(spark: SparkSession, path: str) -> DataFrame:
-    """Calibrated cells, one row each; a file whose side is not the one in its name is an error."""
-    maps = spark.read.schema(CELL_MAP_SCHEMA).json(path, multiLine=True).withColumn(
-        "_named", F.regexp_extract(F.input_file_name(), r"cells\.(\w+)\.json", 1)
-    )
-    checked = F.when(F.col("_named").isin("", F.col("side")), F.col("side")).otherwise(
+def read_cell_map(spark: SparkSession, path: str, side: str) -> DataFrame:
+    """Calibrated cells of one side, one row each; a file that declares another side is an error."""
+    maps = spark.read.schema(CELL_MAP_SCHEMA).json(path, multiLine=True)
+    checked = F.when(F.col("side") == side, F.col("side")).otherwise(
         F.raise_error(F.concat(F.lit("cell map declares side "), F.col("side")))
     )
     flat = maps.select(checked.alias("side"), "referenceSize", F.explode("cells").alias("c"))

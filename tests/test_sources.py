@@ -66,13 +66,13 @@ def box(x, y, w, h):
 def test_cell_map_and_labels(spark, tmp_path):
     doc = {"side": "front", "referenceSize": {"width": 100, "height": 200}, "referenceDpi": 200, "exclusions": [box(1, 2, 3, 4)],
            "cells": [{"row": 18, "column": "left", "total": box(5, 6, 7, 8), "tally": box(1, 6, 3, 8)}]}
-    (tmp_path / "cells.front.json").write_text(json.dumps(doc, indent=1))
-    r = tables.read_cell_map(spark, str(tmp_path / "cells.front.json")).first()
+    path = str(tmp_path / "map.json")
+    (tmp_path / "map.json").write_text(json.dumps(doc, indent=1))
+    r = tables.read_cell_map(spark, path, "front").first()
     assert (r.side, r.item_row, r.total_x, r.tally_h, r.page_h) == ("front", 18, 5, 8, 200)
-    assert tables.read_exclusions(spark, str(tmp_path / "cells.front.json")).first().w == 3
-    (tmp_path / "cells.back.json").write_text(json.dumps(doc))
+    assert tables.read_exclusions(spark, path).first().w == 3
     try:
-        tables.read_cell_map(spark, str(tmp_path / "cells.back.json")).collect()
+        tables.read_cell_map(spark, path, "back").collect()
     except Exception as e:
         assert "declares side front" in str(e)
     else:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,7 +40,15 @@ def test_pairing_stream_equals_batch_with_pages_out_of_order(spark, tmp_path):
     write_batches(tmp_path / "in", [shuffled[:6], shuffled[6:11], shuffled[11:]])
     src = spark.readStream.schema("event string, page_no bigint, side string, total bigint").option(
         "maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    finish(stream_pairing.pair_stream(src), str(tmp_path / "out"), str(tmp_path / "ck"))
+    # A stream with processing-time timeouts has no natural end, so it is stopped once all is read.
+    q = (
+        stream_pairing.pair_stream(src).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "ck")).start()
+    )
+    end = time.time() + 90
+    while sum(p["numInputRows"] for p in q.recentProgress) < len(pages) and time.time() < end:
+        time.sleep(0.5)
+    q.stop()
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("event", "card_no", "front_page", "back_page").collect()}
     batch = spark.createDataFrame(pages).withColumn("overlap", F.lit(1.0))
     want = {tuple(r) for r in pairing.pair_pages(batch).select("event", "card_no", "front_page", "back_page").collect()}
