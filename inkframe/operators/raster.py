@@ -550,9 +550,9 @@ def skew_angle(lines: DataFrame, width: int, height: int, max_deg: float = 2.0,
             xs = np.nonzero(shift == s)[0]
             moves.append((k, int(s), int(xs[0]), int(xs[-1]) + 1))
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ksab", m, strict=True)]) for m in moves])
-    taken = F.transform(
-        F.sequence(F.lit(0), F.lit(w - 1)), lambda i: F.lit(255).cast("bigint") - F.get("px", i * sub)
-    )
+    # The line is walked, not indexed: an array captured in a lambda may be built again per element.
+    kept = F.slice(F.filter("px", lambda v, i: i % sub == 0), 1, w) if sub > 1 else F.col("px")
+    taken = F.transform(kept, lambda v: F.lit(255).cast("bigint") - v)
     sums = F.aggregate(
         taken, F.array(F.lit(0).cast("bigint")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
     )
