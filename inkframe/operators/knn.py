@@ -93,7 +93,7 @@ RULE_KS = (5, 9, 15, 21, 25)
 def class_counts(samples: DataFrame) -> DataFrame:
     """Training-side count per label for each event held out: `(source, label, n)`.
 
-    Labels are ten, so the per-event rows and the totals are small, and counted beforehand.
+    Samples are counted before anything is joined; a row per event and label is left.
     """
     per = samples.groupBy("source", "label").agg(F.count(F.lit(1)).alias("own"))
     totals = per.groupBy(F.col("label")).agg(F.sum("own").alias("all_n"))
@@ -111,7 +111,7 @@ def poll(near: DataFrame, samples: DataFrame, ks: Sequence[int] = RULE_KS) -> Da
     Share and margin for each `k`, and the share balanced by class size for the first.
     """
     truth = samples.select(F.col("sample_id").alias("query"), "source", F.col("label").alias("truth"))
-    x = near.join(truth, "query").join(F.broadcast(class_counts(samples)), ["source", "label"])
+    x = near.join(truth, "query").join(class_counts(samples), ["source", "label"])
     w = 1 / (F.sqrt("d") + F.lit(1e-6))
 
     def upto(k: int, weight: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK_WIDTH, id_chunk
+from .ordered import CHUNK_WIDTH, id_chunk, numbered
 
 MIN_OVERLAP = 0.75
 
@@ -141,3 +141,32 @@ def pairing_problems(
         .select("event", F.lit("odd-page-count").alias("kind"), none.alias("page"), none.alias("other_page"))
     )
     return misaligned.unionByName(breaks).unionByName(odd)
+
+
+def trusted_pages(pages: DataFrame, *, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """Pages that lie well enough on their reference to be cut."""
+    return pages.filter(F.col("overlap") >= min_overlap)
+
+
+def refused_pages(pages: DataFrame, *, min_overlap: float = MIN_OVERLAP, bands: int = 10_000) -> DataFrame:
+    """Pages the trust gate turns away, numbered worst first within their event (`worst_rank`).
+
+    An event's pages are numbered inside narrow bands of overlap, and inside a band in chunks of
+    equal overlap and near page numbers: a feed of blank sheets scores 0 throughout and is still
+    spread. What is ordered per event is one row per band.
+    """
+    x = (
+        pages.filter(F.col("overlap") < min_overlap)
+        .withColumn("_band", F.floor(F.col("overlap") * bands).cast("bigint"))
+        .withColumn("_ids", id_chunk("page_no"))
+    )
+    inside = numbered(
+        x, ["event", "_band"], ["overlap", "_ids"], [F.col("overlap"), F.col("page_no")], "_r"
+    )
+    before = Window.partitionBy("event").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy("event", "_band").agg(F.count(F.lit(1)).alias("_n")).select(
+        "event", "_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    return inside.join(totals, ["event", "_band"]).withColumn(
+        "worst_rank", F.col("_r") + F.col("_before")
+    ).drop("_r", "_before", "_band", "_ids")

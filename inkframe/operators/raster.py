@@ -320,16 +320,22 @@ def _stack(col: str, r: int, combine) -> Column:
     )
 
 
-def _slide_max(px: Column, r: int) -> Column:
-    return F.transform(
-        px, lambda v, i: F.array_max(F.slice(px, F.greatest(i - r, F.lit(0)) + 1, F.least(i, F.lit(r)) + r + 1))
-    )
+def _along(df: DataFrame, col: str, r: int) -> DataFrame:
+    """Maximum within `r` along the line, into `_m`: the window doubles, it is not rescanned."""
+    pad = F.array_repeat(F.lit(0).cast("smallint"), r)
+    x, size = df.withColumn("_m", F.concat(pad, F.col(col), pad)), 1
+    while size < 2 * r + 1:
+        step = min(size, 2 * r + 1 - size)
+        ahead = F.slice("_m", step + 1, F.size("_m"))
+        x = x.withColumn("_m", F.zip_with("_m", ahead, lambda a, b: F.greatest(a, b)))
+        size += step
+    return x.withColumn("_m", F.slice("_m", 1, F.size(col)))
 
 
 def local_max(lines: DataFrame, r: int = 9) -> DataFrame:
     """Maximum filter of radius `r`, along lines and then across them."""
-    rows = lines.withColumn("px", _slide_max(F.col("px"), r))
-    return rows.withColumn("px", _stack("px", r, lambda a, b: F.greatest(a, b)))
+    rows = _along(lines, "px", r)
+    return rows.select("page", "y", _stack("_m", r, lambda a, b: F.greatest(a, b)).alias("px"))
 
 
 def dilate(mask: DataFrame, r: int = 2) -> DataFrame:
@@ -358,8 +364,7 @@ def raw_ink(lines: DataFrame, depth: int = 22, window: int = 9) -> DataFrame:
 
     The line itself rides along with the filter, so nothing is joined back.
     """
-    along = lines.withColumn("_p", _slide_max(F.col("px"), window))
-    paper = along.withColumn("_p", _stack("_p", window, lambda a, b: F.greatest(a, b)))
+    paper = _along(lines, "px", window).withColumn("_p", _stack("_m", window, lambda a, b: F.greatest(a, b)))
     ink = F.zip_with("_p", "px", lambda p, v: F.when(p - v >= depth, 1).otherwise(0).cast("smallint"))
     return paper.select("page", "y", ink.alias("px"))
 
@@ -536,37 +541,43 @@ def moments(lines: DataFrame) -> DataFrame:
 def skew_angle(lines: DataFrame, width: int, height: int, max_deg: float = 2.0, step: float = 0.1, sub: int = 4) -> DataFrame:
     """Angle whose sheared row profile varies most; the first of equals.
 
-    Under one angle all pixels of a line between two columns move by the same number of rows.
-    So a line is reduced to running sums once, and each angle costs a few differences of them
-    per line rather than one row per pixel. Sums are whole numbers, so equal is equal.
+    A page's lines, thinned to every `sub`-th pixel, meet in one row: one shuffle of a sixteenth of
+    the raster, where a row per line and angle would be several times the raster. Under one
+    angle all pixels between two columns move by the same number of rows, so each angle
+    is a few differences of running sums. Sums are whole numbers, so equal is equal.
     """
     w, h = width // sub, height // sub
     steps = int(round(2 * max_deg / step)) + 1
     moves = []
     for k in range(steps):
-        deg = -max_deg + k * step
-        shift = np.floor((np.arange(w) - w / 2) * np.tan(np.deg2rad(deg)) + 0.5).astype(int)
-        for s in np.unique(shift):
-            xs = np.nonzero(shift == s)[0]
-            moves.append((k, int(s), int(xs[0]), int(xs[-1]) + 1))
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ksab", m, strict=True)]) for m in moves])
-    # The line is walked, not indexed: an array captured in a lambda may be built again per element.
-    kept = F.slice(F.filter("px", lambda v, i: i % sub == 0), 1, w) if sub > 1 else F.col("px")
-    taken = F.transform(kept, lambda v: F.lit(255).cast("bigint") - v)
-    sums = F.aggregate(
-        taken, F.array(F.lit(0).cast("bigint")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
-    )
-    small = lines.filter((F.col("y") % sub == 0) & (F.col("y") < h * sub)).select(
-        "page", F.floor(F.col("y") / sub).cast("bigint").alias("y"), sums.alias("_sums")
-    )
-    moved = small.select("page", "y", "_sums", F.inline(table)).select(
-        "page", "k", (F.col("y") + F.col("s")).alias("r"),
-        (F.get("_sums", F.col("b")) - F.get("_sums", F.col("a"))).alias("v"),
-    ).filter((F.col("r") >= 0) & (F.col("r") < h))
-    rows = moved.groupBy("page", "k", "r").agg(F.sum("v").alias("v"))
-    score = rows.groupBy("page", "k").agg((F.sum(F.col("v") * F.col("v")) * h - F.sum("v") * F.sum("v")).alias("score"))
-    best = score.groupBy("page").agg(F.max(F.struct("score", (-F.col("k")).alias("m"))).alias("b"))
-    return best.select("page", F.round(-F.col("b.m") * F.lit(step) - max_deg, 6).alias("deg"), F.col("b.score").alias("score"))
+        shift = np.floor((np.arange(w) - w / 2) * np.tan(np.deg2rad(-max_deg + k * step)) + 0.5).astype(int)
+        cuts = np.flatnonzero(np.r_[True, np.diff(shift) != 0, True])
+        moves.append([(int(shift[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def scores(ink: np.ndarray) -> tuple[int, int]:
+        sums = np.concatenate([np.zeros((h, 1), np.int64), np.cumsum(ink, axis=1)], axis=1)
+        best = (-1, 0)
+        for k, parts in enumerate(moves):
+            rows = np.zeros(h, np.int64)
+            for s, a, b in parts:
+                if abs(s) < h:
+                    rows[max(s, 0) : h + min(s, 0)] += (sums[:, b] - sums[:, a])[max(-s, 0) : h - max(s, 0)]
+            score = int((rows * rows).sum() * h - rows.sum() ** 2)
+            best = max(best, (score, -k))
+        return best
+
+    def run(batches):
+        for pdf in batches:
+            found = [scores(255 - np.asarray(px, np.int64).reshape(h, w)) for px in pdf["px"]]
+            yield pd.DataFrame({
+                "page": pdf["page"], "deg": [round(-max_deg - k * step, 6) for _, k in found], "score": [v for v, _ in found],
+            })
+
+    thin = F.slice(F.filter("px", lambda v, i: i % sub == 0), 1, w) if sub > 1 else F.col("px")
+    small = lines.filter((F.col("y") % sub == 0) & (F.col("y") < h * sub)).select("page", "y", thin.alias("px"))
+    ordered = F.array_sort(F.collect_list(F.struct("y", "px")))
+    packed = small.groupBy("page").agg(F.flatten(F.transform(ordered, lambda s: s["px"])).alias("px"))
+    return packed.mapInPandas(run, "page bigint, deg double, score bigint")
 
 
 def profile_arrays(profile: DataFrame, name: str = "a") -> DataFrame:

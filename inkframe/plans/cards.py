@@ -1,8 +1,6 @@
 """Page feeds and cards."""
 
-from pyspark.sql import functions as F
-
-from ..operators import ordered, pairing
+from ..operators import pairing
 from . import views
 from .registry import query
 from .views import with_views
@@ -52,11 +50,4 @@ SELECT event, page_no, side, overlap,
        row_number() OVER (PARTITION BY event ORDER BY overlap, page_no) AS worst_rank
 FROM seq WHERE overlap < 0.75e0""", "seq"))
 def q_refused(spark, sf_dir):
-    """Pages the trust gate turns away, worst first within their event."""
-    pages = views.seq(spark, sf_dir).filter(F.col("overlap") < pairing.MIN_OVERLAP)
-    # Ties on one overlap (a feed of blank sheets scores 0 throughout) are cut further by page number.
-    ranked = ordered.numbered(
-        pages.withColumn("_ids", ordered.id_chunk("page_no")),
-        ["event"], ["overlap", "_ids"], [F.col("overlap"), F.col("page_no")], "worst_rank",
-    )
-    return ranked.drop("_ids")
+    return pairing.refused_pages(views.seq(spark, sf_dir))

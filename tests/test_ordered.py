@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkframe.operators import evaluate, ordered
+from inkframe.operators import evaluate, ordered, pairing
 
 
 @pytest.mark.parametrize("width", [1, 4, 1000])
@@ -44,3 +44,13 @@ def test_reachable_precision_brute(spark):
             if sum(ans) / len(ans) >= target:
                 best = max(best or 0, len(ans))
         assert got[target] == best
+
+
+def test_refused_pages_rank_through_ties(spark):
+    rng = random.Random(8)
+    rows = [(e, p, rng.choice([0.0, 0.0, 0.25, round(rng.random(), 5)])) for e in (1, 2) for p in range(0, 30000, 60)]
+    df = spark.createDataFrame(rows, "event bigint, page_no bigint, overlap double")
+    got = {(r.event, r.page_no): r.worst_rank for r in pairing.refused_pages(df).collect()}
+    for e in (1, 2):
+        bad = sorted((o, p) for ev, p, o in rows if ev == e and o < 0.75)
+        assert [got[(e, p)] for _, p in bad] == list(range(1, len(bad) + 1))
