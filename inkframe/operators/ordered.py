@@ -64,6 +64,16 @@ def numbered(
     return running(df, keys, chunk, order, {name: F.lit(1).cast("bigint")})
 
 
+def batched(
+    df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[Column], per: int, name: str = "batch"
+) -> DataFrame:
+    """Number consecutive batches of `per` rows in each group, from 0; `place` is the row's place in its own."""
+    x = numbered(df, keys, chunk, order, "_rn")
+    return x.withColumn(name, F.floor((F.col("_rn") - 1) / per).cast("bigint")).withColumn(
+        "place", (F.col("_rn") - 1) % per
+    ).drop("_rn")
+
+
 def first_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rn"
 ) -> DataFrame:

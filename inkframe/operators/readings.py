@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.readings import PREFILL_GATE, prefill_tag, reconcile
 from ..functions.rounding import half_up
+from .ordered import first_n
 
 NEGLIGIBLE_INK = 0.008
 
@@ -93,3 +94,17 @@ def reader_agreement(cells: DataFrame, truth: DataFrame, *, digit_gate: float =
     per_event = x.groupBy("event").agg(*[F.count_if(c).alias(k) for k, c in tests.items()])
     # Totals come from the per-event rows, not from a second expansion of the cells.
     return per_event.rollup("event").agg(*[F.sum(k).alias(k) for k in tests])
+
+
+def digits_to_number(pred: DataFrame, most: int = 3) -> DataFrame:
+    """Digits of a cell in order to its number, trusted as its worst digit; null past `most` digits."""
+    # Only the first four digits can matter: with a fourth the cell is declined.
+    few = first_n(pred, ["source", "cell"], [F.col("k"), F.col("predicted"), F.col("conf")], most + 1)
+    parts = F.array_sort(F.collect_list(F.struct("rn", "predicted")))
+    readable = (F.count(F.lit(1)) <= most) & ~F.bool_or(F.col("predicted").isNull())
+    text = F.array_join(F.transform(parts, lambda p: p["predicted"].cast("string")), "")
+    return few.groupBy("source", "cell").agg(
+        F.count(F.lit(1)).alias("digits"),
+        F.when(readable, text.cast("bigint")).alias("value"),
+        F.when(readable, F.min("conf")).alias("confidence"),
+    )

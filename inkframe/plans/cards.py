@@ -1,6 +1,8 @@
 """Page feeds and cards."""
 
-from ..operators import pairing
+from pyspark.sql import functions as F
+
+from ..operators import ordered, pairing
 from . import views
 from .registry import query
 from .views import with_views
@@ -51,3 +53,12 @@ SELECT event, page_no, side, overlap,
 FROM seq WHERE overlap < 0.75e0""", "seq"))
 def q_refused(spark, sf_dir):
     return pairing.refused_pages(views.seq(spark, sf_dir))
+
+
+@query("q_batches", with_views("""
+SELECT event, page_no, (rn - 1) // 24 AS batch, (rn - 1) % 24 AS place
+FROM (SELECT event, page_no, row_number() OVER (PARTITION BY event ORDER BY page_no) AS rn FROM seq)""", "seq"))
+def q_batches(spark, sf_dir):
+    """Pages of each feed in sheets of 24, for looking at."""
+    pages = views.seq(spark, sf_dir).select("event", "page_no").withColumn("_chunk", ordered.id_chunk("page_no"))
+    return ordered.batched(pages, ["event"], ["_chunk"], [F.col("page_no")], 24).drop("_chunk")

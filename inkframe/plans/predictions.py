@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, ordered
+from ..operators import evaluate, ordered, readings
 from . import views
 from .registry import query
 from .views import with_views
@@ -83,20 +83,7 @@ FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY source, cell OR
 GROUP BY source, cell""", "pred"))
 def q_number(spark, sf_dir):
     """Digits of a cell put together; more than three is no number, the worst digit is its trust."""
-    return digits_to_number(views.pred(spark, sf_dir))
-
-
-def digits_to_number(pred, most: int = 3):
-    # Only the first four digits can matter: with a fourth the cell is declined.
-    few = ordered.first_n(pred, ["source", "cell"], [F.col("k"), F.col("predicted"), F.col("conf")], most + 1)
-    parts = F.array_sort(F.collect_list(F.struct("rn", "predicted")))
-    readable = (F.count(F.lit(1)) <= most) & ~F.bool_or(F.col("predicted").isNull())
-    text = F.array_join(F.transform(parts, lambda p: p["predicted"].cast("string")), "")
-    return few.groupBy("source", "cell").agg(
-        F.count(F.lit(1)).alias("digits"),
-        F.when(readable, text.cast("bigint")).alias("value"),
-        F.when(readable, F.min("conf")).alias("confidence"),
-    )
+    return readings.digits_to_number(views.pred(spark, sf_dir))
 
 
 @query("q_topn", """
