@@ -106,3 +106,7 @@ def test_frozen_cells(spark, tmp_path):
     assert tables.rescore(spark, str(tmp_path / "cells"), ["b"]).first().ink == 0.7
     tables.write_datasheet(df, str(tmp_path / "sheet"))
     assert spark.read.parquet(str(tmp_path / "sheet")).count() == 2
+    tables.write_prefills(df, str(tmp_path / "fills"))
+    assert spark.read.json(str(tmp_path / "fills")).count() == 2
+    tables.write_samples(df.withColumnRenamed("event", "source"), str(tmp_path / "samples"))
+    assert {r.source for r in spark.read.json(str(tmp_path / "samples")).collect()} == {"a", "b"}
