@@ -130,3 +130,21 @@ def test_tally_shapes(spark):
     assert got[5] == (None, "ragged groups")
     assert got[6] == (None, "no common baseline")
     assert got[7] == (None, "unexplained ink")
+
+
+def test_verdicts_on_drawn_strips(spark):
+    def strip(*xs, height=40):
+        m = np.zeros((58, 120), int)
+        for x in xs:
+            m[9:9 + height, x:x + 2] = 1
+        return m
+
+    scribble = np.zeros((58, 120), int)
+    scribble[10:45, 20:45] = 1
+    drawn = {0: strip(20, 34, 48), 1: strip(20), 2: strip(20, 34), 3: scribble, 4: strip(20, 60, 90, height=4)}
+    lines = as_lines(spark, list(drawn.values()))
+    strips = components.strip_verdict(components.find_marks(components.inset_rows(lines, 58)), 46)
+    # Spread of strokes; one stroke; two too near; one heavy mark; specks.
+    assert {r.page: r.marked or False for r in strips.collect()} == {0: True, 1: False, 2: False, 3: True, 4: False}
+    boxes = components.box_verdict(components.find_marks(lines), 120, 58)
+    assert {r.page: r.marked for r in boxes.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
