@@ -136,7 +136,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         ids = batch.column("ids").flatten().to_numpy()
                         mask = batch.column("mask").flatten()
                         real = mask.true_count
-                        if not all(mask.slice(0, real).to_pylist()[-1:]):
+                        if mask.slice(0, real).true_count != real:
                             raise ValueError(f"{row['file']}: padding before the end")
                         ids, at_id, out = ids[:real].astype("<u4"), 0, []
                         for end in batch.column("ends").flatten().to_pylist():
