@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, packing, simhash, token_counts, winnowing
+from . import arrow_output, language, packing, simhash, token_counts, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.label_languages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
