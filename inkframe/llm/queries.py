@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, language, packing, simhash, token_counts, winnowing
+from . import arrow_output, language, packing, simhash, token_counts, warc, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.arrow_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+ORACLES["op9_warc"] = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), f as (
+  select html, min(page_id) as first_id, count(*) as n from p where octet_length(encode(html)) >= 100 group by html
+)
+select p.page_id, octet_length(encode(p.html)) as payload_bytes, sha256(p.html) as payload_digest,
+  case when f.n > 1 and p.page_id is distinct from f.first_id then 'revisit' else 'response' end as record_type,
+  case when f.n > 1 and p.page_id is distinct from f.first_id then f.first_id end as refers_to
+from p left join f on p.html = f.html
+"""
