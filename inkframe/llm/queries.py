@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, language, packing, simhash, token_counts, warc, winnowing
+from . import arrow_output, embedding_dups, language, packing, simhash, token_counts, warc, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_languages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
