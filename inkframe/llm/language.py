@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE, slices
 
 #: Units of each direction, bytes of a window, windows that a task computes at once.
 UNITS, WINDOW, BATCH = 8, 64, 512
@@ -243,5 +244,25 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return rows.withColumn("held_out", is_held_out()).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """Rows of `docs`, whole, whose text has letters and a language named with a score of `least` or more.
+
+    Judged row by row without a shuffle or join, so repeated and null ids and columns of any name are no matter. Without a
+    network (no labelled documents) every row with letters stays.
+    """
+    @F.pandas_udf("boolean")
+    def known(text: pd.Series) -> pd.Series:
+        texts = [t or "" for t in text]
+        keep = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+        if net is not None:
+            for at in range(0, len(texts), SLICE):
+                some = at + np.flatnonzero(keep[at:at + SLICE])
+                if len(some):
+                    keep[some] = probabilities(net, [texts[k].encode().lower() for k in some]).max(axis=1) >= least
+        return pd.Series(keep)
+
+    return docs.where(known(docs["text"].cast("string")))
+
+
 def label_languages(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, embedding_dups, language, packing, simhash, token_counts, warc, winnowing
+from . import arrow_output, embedding_dups, html_wrappers, language, mixing, packing, simhash, token_counts, warc, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("row.doc_id", "row.source", "copy", "shuffle_key")
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_languages(table(spark, sf_dir, "documents"))
@@ -50,6 +55,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -65,6 +75,7 @@ def op10_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.arrow_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+ORACLES["op4_mixing"] = mixing.oracle()
 ORACLES["op9_warc"] = """
 with p as (
   select page_id, coalesce(html, '') as html from pages

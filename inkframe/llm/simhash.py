@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected, slices, stored
@@ -213,3 +213,19 @@ def simhash_groups(docs: DataFrame, size: int = 4, most: int = 4, seed: int = 42
     named = stored(joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
     out = fps.join(named, fps.fp == named.f, "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of `docs`, whole, of which each group keeps one: the smallest doc_id's, and of rows that repeat that id one.
+
+    Rows without an id can't be named, so they aren't compared and stay. Columns of any name are carried along.
+    """
+    groups = simhash_groups(docs.where(F.col("doc_id").isNotNull()), size, most, seed)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept")).agg((F.count("*") > 1).alias("several"))
+    kept = stored(kept, "kept")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"))
+    named = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"))
+    named = named.withColumn("tie", F.when(F.col("several"), F.to_json("row")))
+    order = Window.partitionBy("id").orderBy("tie")
+    first = named.withColumn("at", F.row_number().over(order)).where("at = 1")
+    return first.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
