@@ -14,7 +14,7 @@ from .bpe import encoder
 from .common import slices, stored
 
 #: Pieces that one island packs at a time (expected), islands of a pool, packings of an island, generations between migrations.
-POOL, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 8192, 2, 3, 6, 2
+POOL, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 16_384, 2, 3, 6, 2
 #: Share of a sequence that may stay empty in a bin that is kept; bins below go to the next, smaller round of pools.
 WASTE = 1 / 256
 

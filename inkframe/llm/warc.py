@@ -171,7 +171,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if writer is None:
                     fs.create_dir(at, recursive=True)
                     name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
-                    stream = fs.open_output_stream(f"{at}/{name}")
+                    stream = fs.open_output_stream(f"{at}/{name}", compression=None)
                     writer = ArchiveWriter(stream)
                 payload = row["html"].encode()
                 writer.add(record(row["page_id"], row["url"], payload, row["digest"], row["first"], row["revisit"]), payload)
@@ -201,7 +201,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 fs, at = pa.fs.FileSystem.from_uri(row["file"])
                 rows, n = [], 0
-                with fs.open_input_stream(at) as stream:
+                with fs.open_input_stream(at, compression=None) as stream:
                     for data in frames(stream):
                         found, n = parse(data), n + 1
                         h, kind = found["headers"], found["headers"]["warc-type"]

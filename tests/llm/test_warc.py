@@ -1,6 +1,5 @@
 import hashlib
 import io
-import os
 import struct
 
 import oracle
@@ -41,16 +40,19 @@ def test_round_trip(spark):
 
 
 def test_archives_hold_a_dictionary_and_one_frame_a_record(spark):
-    folder = new_folder(spark, "warc")
-    manifest = warc.write_archives(spark.read.parquet(f"{SF_DIR}/pages.parquet").coalesce(1), folder).collect()
-    data = open(os.path.join(folder, manifest[0]["file"]).removeprefix("file://"), "rb").read()
-    assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_FRAME
-    found = [warc.parse(f) for f in warc.frames(io.BytesIO(data))]
-    assert len(found) == manifest[0]["records"] == data.count(warc.ZSTD_MAGIC) - 1
-    pages = {f"<urn:page:{r['page_id']}>": r for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
-    for r in found:
-        page = pages[r["headers"]["warc-record-id"]]
-        assert r["block"].decode() == page["html"] and r["headers"]["warc-target-uri"] == page["url"]
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    manifest = warc.write_archives(rows, new_folder(spark, "warc")).collect()
+    pages, trained = {f"<urn:page:{r['page_id']}>": r for r in rows.collect()}, 0
+    for archive in manifest:
+        data = open(archive["file"].removeprefix("file://"), "rb").read()
+        leads = struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_FRAME
+        found = [warc.parse(f) for f in warc.frames(io.BytesIO(data))]
+        assert len(found) == archive["records"] == data.count(warc.ZSTD_MAGIC) - leads
+        trained += leads
+        for r in found:
+            page = pages.pop(r["headers"]["warc-record-id"])
+            assert r["block"].decode() == page["html"] and r["headers"]["warc-target-uri"] == page["url"]
+    assert not pages and trained
 
 
 def test_plain_dictionary_frame_and_damage():
