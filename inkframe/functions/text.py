@@ -35,19 +35,20 @@ def chapter_date(iso: Column) -> Column:
 
 
 def column_name(index: Column) -> Column:
-    """1-based index to spreadsheet letters (bijective base 26), for up to three letters."""
+    """1-based index to spreadsheet letters (bijective base 26) of any length; null below 1."""
     i = index.cast("bigint")
 
-    def letter(n: Column) -> Column:
-        return F.chr(F.lit(65) + F.pmod(n - 1, F.lit(26)))
+    def peel(acc: Column, _: Column) -> Column:
+        n, rest = acc["n"], acc["n"] - 1
+        more = F.struct(
+            F.call_function("div", rest, F.lit(26)).alias("n"),
+            F.concat(F.chr(F.pmod(rest, F.lit(26)) + 65), acc["s"]).alias("s"),
+        )
+        return F.when(n > 0, more).otherwise(acc)
 
-    second = F.floor((i - 1) / 26).cast("bigint")
-    third = F.floor((second - 1) / 26).cast("bigint")
-    return F.concat(
-        F.when(i > 702, letter(third)).otherwise(F.lit("")),
-        F.when(i > 26, letter(second)).otherwise(F.lit("")),
-        letter(i),
-    )
+    # Fourteen letters hold any bigint.
+    start = F.struct(i.alias("n"), F.lit("").alias("s"))
+    return F.when(i >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, peel, lambda acc: acc["s"]))
 
 
 def column_index(letters: Column) -> Column:

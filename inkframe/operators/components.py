@@ -22,6 +22,10 @@ SHORT, BAR, HOLLOW, SPECK = 0.18, 3.5, 0.06, 0.45
 FRAGMENT_GAP, JOINED_WIDTH = 0.18, 1.05
 
 
+# A pixel's number is y * LINE + x. Pages in one batch are told apart by lines and columns below WIDEST.
+LINE, WIDEST = 1 << 32, (1 << 20) - 2
+
+
 def line_runs(mask: DataFrame) -> DataFrame:
     """Stretches of set pixels per line, `(page, y, x0, x1, node)`, found inside the line's array."""
     def edge(step: int) -> Column:
@@ -35,7 +39,7 @@ def line_runs(mask: DataFrame) -> DataFrame:
     spans = mask.select("page", "y", F.explode(F.arrays_zip(edge(-1).alias("x0"), edge(1).alias("x1"))).alias("s"))
     return spans.select(
         "page", "y", F.col("s.x0").cast("bigint").alias("x0"), F.col("s.x1").cast("bigint").alias("x1"),
-        (F.col("y") * 65536 + F.col("s.x0")).cast("bigint").alias("node"),
+        (F.col("y") * F.lit(LINE) + F.col("s.x0")).cast("bigint").alias("node"),
     )
 
 
@@ -54,7 +58,7 @@ def run_edges(runs: DataFrame, tile: int = 16) -> DataFrame:
     return laid.join(below, ["page", "y", "t"]).filter(near).select("page", F.col("node").alias("a"), "b").distinct()
 
 
-def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Least node of each connected piece: `(page, node, label)`.
 
     Every round a node takes the least label around it and then the label of that label, so
@@ -67,7 +71,7 @@ def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -
     )
     # Nodes without neighbours are their own piece, and take no part in the rounds.
     labels = cut_lineage(both.select("page", "node").distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         around = (
             both.join(labels.select("page", F.col("node").alias("other"), F.col("label").alias("_l")), ["page", "other"])
             .groupBy("page", "node").agg(F.min("_l").alias("_m"))
@@ -84,8 +88,6 @@ def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -
         labels = stepped.select("page", "node", "label")
         if stepped.filter("moved").isEmpty():
             break
-    else:
-        raise RuntimeError(f"pieces not settled after {max_rounds} rounds")
     return nodes.select("page", "node").join(labels, ["page", "node"], "left").withColumn(
         "label", F.coalesce("label", "node")
     )
@@ -94,6 +96,28 @@ def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -
 BOXES = "page bigint, label bigint, min_x bigint, max_x bigint, min_y bigint, max_y bigint, count bigint"
 
 
+def _joined_runs(owner: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """For runs sorted by owner, line and start, the first run of the piece that each belongs to."""
+    if max(int(x1.max()), int(y.max())) >= WIDEST or min(int(x0.min()), int(y.min())) < 0:
+        raise ValueError(f"a page of {WIDEST} lines or columns and more")
+    line = (owner << 40) + (y << 20)
+    # Runs of the next line that a run touches are a range of the sorted runs.
+    first = np.searchsorted(line + x1 + 1, line + (1 << 20) + x0, "left")
+    last = np.searchsorted(line + x0 + 1, line + (1 << 20) + x1 + 2, "right")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    label = np.arange(len(y))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Boxes of the pieces of many pages at once; each row holds a page's runs, sorted."""
     for batch in batches:
@@ -102,22 +126,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(y) == 0:
             continue
         owner = np.repeat(np.arange(len(pages)), batch.column("y").value_lengths().to_numpy(zero_copy_only=False))
-        line = (owner << 40) + (y << 20)
-        # Runs of the next line that a run touches are a range of the sorted runs.
-        first = np.searchsorted(line + x1 + 1, line + (1 << 20) + x0, "left")
-        last = np.searchsorted(line + x0 + 1, line + (1 << 20) + x1 + 2, "right")
-        n = np.maximum(last - first, 0)
-        a = np.repeat(np.arange(len(y)), n)
-        b = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        label = np.arange(len(y))
-        while True:
-            least = label.copy()
-            np.minimum.at(least, a, label[b])
-            np.minimum.at(least, b, label[a])
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
+        label = _joined_runs(owner, y, x0, x1)
         order = np.argsort(label, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
         root = label[order][starts]
@@ -127,7 +136,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         yield pa.RecordBatch.from_arrays(
             [pa.array(v) for v in (
-                pages[owner[root]], (y * 65536 + x0)[root], per_piece(np.minimum, x0), per_piece(np.maximum, x1),
+                pages[owner[root]], (y * LINE + x0)[root], per_piece(np.minimum, x0), per_piece(np.maximum, x1),
                 per_piece(np.minimum, y), per_piece(np.maximum, y), per_piece(np.add, x1 - x0 + 1),
             )], names=["page", "label", "min_x", "max_x", "min_y", "max_y", "count"],
         )
@@ -145,17 +154,65 @@ def components(mask: DataFrame, min_pixels: int = 1) -> DataFrame:
     return rows.mapInArrow(_pieces, BOXES).filter(F.col("count") >= min_pixels)
 
 
-def find_marks(clean: DataFrame, close: int = 2, min_pixels: int = 4) -> DataFrame:
-    """Pieces of the closed mask, with the ink of the mask itself inside their boxes."""
-    from .raster import dilate
-
-    marks = components(dilate(clean, close), min_pixels)
-    per_line = marks.withColumn("y", F.explode(F.sequence("min_y", "max_y")))
-    inside = F.slice("px", F.col("min_x").cast("int") + 1, (F.col("max_x") - F.col("min_x") + 1).cast("int"))
-    ink = per_line.join(clean, ["page", "y"]).groupBy("page", "label").agg(
-        F.sum(F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, v: a + v)).alias("ink")
+MARKS = BOXES + ", ink bigint"
+
+
+def _grown(m: np.ndarray, r: int) -> np.ndarray:
+    """Maximum over the square of radius `r`."""
+    for axis in (0, 1):
+        padded = np.pad(m, [(r, r) if k == axis else (0, 0) for k in (0, 1)])
+        m = np.lib.stride_tricks.sliding_window_view(padded, 2 * r + 1, axis=axis).max(axis=-1)
+    return m
+
+
+def _page_marks(m: np.ndarray, first: int, close: int, min_pixels: int) -> list[np.ndarray]:
+    """Label, box, size and ink of the pieces of one page's closed mask whose first line is `first`."""
+    edges = np.diff(np.pad(_grown(m, close), ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    y, x0 = np.nonzero(edges == 1)
+    x1 = np.nonzero(edges == -1)[1] - 1
+    if len(y) == 0:
+        return [np.zeros(0, np.int64)] * 7
+    label = _joined_runs(np.zeros(len(y), np.int64), y, x0, x1)
+    order = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
+    low, high, top, bottom, size = (
+        op.reduceat(v[order], starts)
+        for op, v in ((np.minimum, x0), (np.maximum, x1), (np.minimum, y), (np.maximum, y), (np.add, x1 - x0 + 1))
     )
-    return marks.join(ink, ["page", "label"])
+    sums = np.pad(m.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    ink = sums[bottom + 1, high + 1] - sums[top, high + 1] - sums[bottom + 1, low] + sums[top, low]
+    root = label[order][starts]
+    found = [(y[root] + first) * LINE + x0[root], low, high, top + first, bottom + first, size, ink]
+    return [v[size >= min_pixels] for v in found]
+
+
+def find_marks(clean: DataFrame, close: int = 2, min_pixels: int = 4) -> DataFrame:
+    """Pieces of the closed mask, with the ink of the mask itself inside their boxes.
+
+    A page without any has one row of nulls, so that it keeps its verdict. The lines of a page, which paper bounds, meet once;
+    growing, labelling and summing are done on them there.
+    """
+    packed = clean.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "px"))).alias("r"))
+    rows = packed.select("page", F.col("r.y").alias("y"), F.col("r.px").alias("px"))
+    names = [c.split()[0] for c in MARKS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                page = batch.column("page")[k].as_py()
+                ys = batch.column("y")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                lines = batch.column("px")[k].values
+                sizes = lines.value_lengths().to_numpy(zero_copy_only=False)
+                m = np.zeros((int(ys[-1] - ys[0]) + 1, int(sizes.max())), bool)
+                m[np.repeat(ys - ys[0], sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = (
+                    lines.flatten().to_numpy(zero_copy_only=False) != 0
+                )
+                found = _page_marks(m, int(ys[0]), close, min_pixels)
+                blank = len(found[0]) == 0
+                columns = [pa.nulls(1, pa.int64())] * 7 if blank else [pa.array(v, pa.int64()) for v in found]
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(columns[0]), pa.int64()), *columns], names=names)
+
+    return rows.mapInArrow(run, MARKS)
 
 
 def _tall_bar(height: Column) -> Column:
@@ -163,12 +220,12 @@ def _tall_bar(height: Column) -> Column:
 
 
 def box_verdict(marks: DataFrame, width: int, height: int) -> DataFrame:
-    """Is there handwriting in the box? A tall mark, or enough ink in all."""
-    tall = F.max(F.col("max_y") - F.col("min_y") + 1)
-    mass = F.sum("ink")
+    """Is there handwriting in the box? A tall mark, or enough ink in all. A blank box has none."""
+    tall = F.coalesce(F.max(F.col("max_y") - F.col("min_y") + 1), F.lit(0))
+    mass = F.coalesce(F.sum("ink"), F.lit(0))
     enough = min(MASS_CEILING, width * height * MASS_FRAC)
     return marks.groupBy("page").agg(
-        F.count(F.lit(1)).alias("marks"), tall.alias("tallest"), mass.alias("mass"),
+        F.count("label").alias("marks"), tall.alias("tallest"), mass.alias("mass"),
         ((tall >= _tall_bar(F.lit(height))) | (mass >= F.lit(float(enough)))).alias("marked"),
     )
 
@@ -182,13 +239,14 @@ def inset_rows(lines: DataFrame, height: int, frac: float = STRIP_INSET) -> Data
 
 
 def strip_verdict(marks: DataFrame, height: int) -> DataFrame:
-    """Does the strip hold something to read? A spread of tall marks, or one heavy mark."""
+    """Does the strip hold something to read? A spread of tall marks, or one heavy mark. A blank strip holds none."""
     is_tall = (F.col("max_y") - F.col("min_y") + 1) >= _tall_bar(F.lit(height))
     strokes = F.count_if(is_tall)
     span = F.max(F.when(is_tall, F.col("max_x"))) - F.min(F.when(is_tall, F.col("min_x")))
+    spread = (strokes >= STRIP_RUN) & F.coalesce(span >= STRIP_SPAN, F.lit(False))
     return marks.groupBy("page").agg(
-        F.count(F.lit(1)).alias("marks"), strokes.alias("strokes"), span.alias("span"),
-        (((strokes >= STRIP_RUN) & (span >= STRIP_SPAN)) | (F.max("ink") >= STRIP_SOLO)).alias("marked"),
+        F.count("label").alias("marks"), strokes.alias("strokes"), span.alias("span"),
+        (spread | F.coalesce(F.max("ink") >= STRIP_SOLO, F.lit(False))).alias("marked"),
     )
 
 

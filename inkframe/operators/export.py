@@ -116,7 +116,8 @@ def card_summary(cells: DataFrame) -> DataFrame:
     tally_only = ~F.col("has_value") & F.col("tally_marked")
     return cells.groupBy("event", "card").agg(
         F.count(F.lit(1)).alias("cells"),
-        F.array_join(F.array_sort(F.collect_set("page_no")), ", ").alias("pages"),
+        # Sorted as what they are, numbers as numbers, and only then written out.
+        F.array_join(F.transform(F.array_sort(F.collect_set("page_no")), lambda p: p.cast("string")), ", ").alias("pages"),
         F.count_distinct("source").alias("sources"),
         F.when(F.bool_or(tally_only), "tally").otherwise("total").alias("card_type"),
     )

@@ -119,7 +119,7 @@ def digit_labels(cells: DataFrame, typed: DataFrame, **gates) -> DataFrame:
 
 
 def match_sheets(scans: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Scan folders `(name, place, m, d, yy)` to the first sheet file that names place and date.
+    """Scan folders `(name, place, m, d, yy)` to the first sheet file that names place and date, null without one.
 
     A sheet matches when its normalised name contains the place and one spelling of the date.
     Containment becomes equality: a name gives out its substrings, only of the lengths that
@@ -161,4 +161,4 @@ def match_sheets(scans: DataFrame, sheets: DataFrame) -> DataFrame:
         .select("sheet", "place_key", F.explode(F.array_distinct(runs)).alias("spelling"))
         .groupBy("place_key", "spelling").agg(F.min("sheet").alias("sheet"))
     )
-    return wanted.join(offers, ["place_key", "spelling"]).groupBy("name").agg(F.min("sheet").alias("sheet"))
+    return wanted.join(offers, ["place_key", "spelling"], "left").groupBy("name").agg(F.min("sheet").alias("sheet"))

@@ -237,14 +237,20 @@ def banner_rows(lines: DataFrame, blocks: DataFrame, frac: float = 0.5) -> DataF
     )
 
 
-def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str], position: list[str]) -> DataFrame:
-    """Intersection over union of two sets of set positions per key; both empty give 1."""
+def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str], position: list[str], over: DataFrame) -> DataFrame:
+    """Two sets of positions for each key of `over`: what both have, either has, only the first has, and the share.
+
+    A key of which both are empty has a share of 1.
+    """
     both = a.select(*keys, *position, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
         b.select(*keys, *position, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
     ).groupBy(*keys, *position).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    return both.groupBy(*keys).agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("inter"), F.count(F.lit(1)).alias("uni")
-    ).withColumn("iou", F.round(F.col("inter") / F.col("uni"), 6))
+    sums = both.groupBy(*keys).agg(
+        F.sum(F.col("_a") * F.col("_b")).alias("inter"), F.count(F.lit(1)).alias("uni"),
+        F.sum(F.col("_a") * (1 - F.col("_b"))).alias("minus"),
+    )
+    filled = over.select(*keys).distinct().join(sums, keys, "left").na.fill(0, ["inter", "uni", "minus"])
+    return filled.withColumn("iou", F.when(F.col("uni") == 0, 1.0).otherwise(F.round(F.col("inter") / F.col("uni"), 6)))
 
 
 def banner_overlap(banners: DataFrame, reference: DataFrame) -> DataFrame:

@@ -98,13 +98,16 @@ def reader_agreement(cells: DataFrame, truth: DataFrame, *, digit_gate: float =
 
 def digits_to_number(pred: DataFrame, most: int = 3) -> DataFrame:
     """Digits of a cell in order to its number, trusted as its worst digit; null past `most` digits."""
-    # Only the first four digits can matter: with a fourth the cell is declined.
-    few = first_n(pred, ["source", "cell"], [F.col("k"), F.col("predicted"), F.col("conf")], most + 1)
+    keys = ["source", "cell"]
+    # All digits are counted; only the few of a cell that can be read are gathered.
+    whole = pred.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("digits"), F.min("conf").alias("_least"), F.bool_or(F.col("predicted").isNull()).alias("_lost")
+    )
+    few = first_n(pred, keys, [F.col("k"), F.col("predicted"), F.col("conf")], most)
     parts = F.array_sort(F.collect_list(F.struct("rn", "predicted")))
-    readable = (F.count(F.lit(1)) <= most) & ~F.bool_or(F.col("predicted").isNull())
-    text = F.array_join(F.transform(parts, lambda p: p["predicted"].cast("string")), "")
-    return few.groupBy("source", "cell").agg(
-        F.count(F.lit(1)).alias("digits"),
-        F.when(readable, text.cast("bigint")).alias("value"),
-        F.when(readable, F.min("conf")).alias("confidence"),
+    text = few.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["predicted"].cast("string")), "").alias("_text"))
+    readable = (F.col("digits") <= most) & ~F.col("_lost")
+    return whole.join(text, keys).select(
+        *keys, "digits", F.when(readable, F.col("_text").cast("bigint")).alias("value"),
+        F.when(readable, F.col("_least")).alias("confidence"),
     )

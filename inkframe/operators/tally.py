@@ -141,15 +141,16 @@ def strongest_line(
     ink: DataFrame, *, half_band: int = 2, step: int = ANGLE_STEP, max_gap: float = MAX_GAP,
     min_length: float = MIN_LENGTH, min_members: int = MIN_MEMBERS, max_ink: int = MAX_INK,
 ) -> DataFrame:
-    """The longest unbroken straight run of ink per group, over angles and bands across them.
+    """The longest unbroken straight run of ink per page: `(page, angle, band, length, reason)`.
 
-    `ink` is `(page, x, y)`. Groups denser than `max_ink` are declined before any of this, so
-    what is left fits one row. Opening every pixel to every angle and band would carry the ink
+    `ink` is `(page, x, y)`. Every page with ink has a row. A page denser than `max_ink` is declined
+    as 'too dense' and one without a run as 'no line', with nulls; so what is voted on fits one row. Opening every pixel to every angle and band would carry the ink
     through a shuffle more than a hundred times over; gathered once, it is voted on in Arrow
     batches. Of equal runs the first angle and band wins.
     """
-    dense = ink.groupBy("page").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_ink)
-    packed = ink.join(dense.select("page"), "page", "left_semi").groupBy("page").agg(
+    counts = ink.groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.filter(F.col("n") <= max_ink).select("page")
+    packed = ink.join(few, "page", "left_semi").groupBy("page").agg(
         F.collect_list(F.col("x").cast("int")).alias("x"), F.collect_list(F.col("y").cast("int")).alias("y")
     )
     angles = np.arange(0, 180, step)
@@ -178,7 +179,9 @@ def strongest_line(
             found = [(p, longest(x, y)) for p, x, y in zip(pdf["page"], pdf["x"], pdf["y"], strict=True)]
             yield pd.DataFrame([(p, *f) for p, f in found if f], columns=["page", "angle", "band", "length"])
 
-    return packed.mapInPandas(run, "page bigint, angle bigint, band bigint, length double")
+    lines = packed.mapInPandas(run, "page bigint, angle bigint, band bigint, length double")
+    reason = F.when(F.col("n") > max_ink, "too dense").when(F.col("angle").isNull(), "no line").otherwise("")
+    return counts.join(lines, "page", "left").select("page", "angle", "band", "length", reason.alias("reason"))
 
 
 def vertical_rules(mask: DataFrame, width: int, height: int) -> DataFrame:

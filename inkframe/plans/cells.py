@@ -215,7 +215,7 @@ def q_labelgate(spark, sf_dir):
 SELECT r.event, r.card, r.item_row, n AS value, k - 1 AS k, CAST(CAST(n AS VARCHAR)[k] AS BIGINT) AS label
 FROM readings r JOIN typed t USING (event, card, item_row)
 JOIN (SELECT event, card FROM card_gate WHERE {KEPT}) g ON g.event = r.event AND g.card = r.card
-CROSS JOIN range(1, 8) ks(k)
+CROSS JOIN range(1, 20) ks(k)
 WHERE n > 0 AND pieces = length(CAST(n AS VARCHAR)) AND k <= length(CAST(n AS VARCHAR))""", "card_gate"))
 def q_labels(spark, sf_dir):
     r = views.readings(spark, sf_dir)
@@ -227,7 +227,7 @@ SELECT label, count(*) AS n FROM (
   SELECT CAST(CAST(n AS VARCHAR)[k] AS BIGINT) AS label
   FROM readings r JOIN typed t USING (event, card, item_row)
   JOIN (SELECT event, card FROM card_gate WHERE {KEPT}) g ON g.event = r.event AND g.card = r.card
-  CROSS JOIN range(1, 8) ks(k)
+  CROSS JOIN range(1, 20) ks(k)
   WHERE n > 0 AND pieces = length(CAST(n AS VARCHAR)) AND k <= length(CAST(n AS VARCHAR)))
 GROUP BY label""", "card_gate"))
 def q_class_balance(spark, sf_dir):
@@ -237,14 +237,14 @@ def q_class_balance(spark, sf_dir):
 
 @query("q_cardsum", with_views("""
 SELECT event, card, count(*) AS cells,
-       string_agg(DISTINCT CAST(CASE WHEN item_row < 52 THEN card * 2 - 1 ELSE card * 2 END AS VARCHAR), ', '
-                  ORDER BY CAST(CASE WHEN item_row < 52 THEN card * 2 - 1 ELSE card * 2 END AS VARCHAR)) AS pages,
+       array_to_string(list_transform(list_sort(list(DISTINCT CASE WHEN item_row < 52 THEN card * 2 - 1 ELSE card * 2 END)),
+                                      lambda p: CAST(p AS VARCHAR)), ', ') AS pages,
        count(DISTINCT source) AS sources,
        CASE WHEN bool_or(NOT has_value AND tally_marked) THEN 'tally' ELSE 'total' END AS card_type
 FROM reads GROUP BY event, card""", "reads"))
 def q_cardsum(spark, sf_dir):
     page = F.when(F.col("item_row") < 52, F.col("card") * 2 - 1).otherwise(F.col("card") * 2)
-    cells = readings.with_reading(views.readings(spark, sf_dir)).withColumn("page_no", page.cast("string"))
+    cells = readings.with_reading(views.readings(spark, sf_dir)).withColumn("page_no", page)
     return export.card_summary(cells)
 
 

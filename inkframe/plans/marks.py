@@ -18,7 +18,7 @@ def dark(spark, sf_dir, below):
 
 def _reach(pixels: str) -> str:
     """Every pixel with the least pixel number it is connected to."""
-    return f"""px AS (SELECT page, x, y, y * 65536 + x AS id FROM {pixels}),
+    return f"""px AS (SELECT page, x, y, y * 4294967296 + x AS id FROM {pixels}),
 adj AS MATERIALIZED (SELECT a.page, a.id AS a, b.id AS b FROM px a
   JOIN (SELECT dx, dy FROM (VALUES (-1), (0), (1)) q(dx), (VALUES (-1), (0), (1)) r(dy)) o ON true
   JOIN px b ON b.page = a.page AND b.x = a.x + dx AND b.y = a.y + dy),
@@ -37,8 +37,8 @@ def q_components(spark, sf_dir):
 
 DY = int(PAGE_H * components.STRIP_INSET + 0.5)
 SQL["ink24"] = (("raster",), f"""
-  SELECT page * 2 AS page, x, y, CASE WHEN v < 16 THEN 1 ELSE 0 END AS v FROM raster
-  UNION ALL SELECT page * 2 + 1, x, y - {DY}, CASE WHEN v < 16 THEN 1 ELSE 0 END FROM raster WHERE y >= {DY} AND y < {PAGE_H - DY}""")
+  SELECT page * 2 AS page, x, y, CASE WHEN v < 16 AND page % 5 <> 3 THEN 1 ELSE 0 END AS v FROM raster
+  UNION ALL SELECT page * 2 + 1, x, y - {DY}, CASE WHEN v < 16 AND page % 5 <> 3 THEN 1 ELSE 0 END FROM raster WHERE y >= {DY} AND y < {PAGE_H - DY}""")
 SQL["ink24_grown"] = (("ink24",), f"SELECT page, x, y FROM {slide('ink24', 1)} WHERE v = 1")
 
 
@@ -46,28 +46,26 @@ SQL["ink24_grown"] = (("ink24",), f"SELECT page, x, y FROM {slide('ink24', 1)} W
 m0 AS (SELECT p.page, label, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM px p JOIN lab USING (page, id)
        GROUP BY p.page, label HAVING count(*) >= 4),
 m AS (SELECT m0.*, (SELECT count(*) FROM ink24 i WHERE i.page = m0.page AND i.v = 1 AND i.x BETWEEN min_x AND max_x AND i.y BETWEEN min_y AND max_y) AS ink FROM m0)
-SELECT 'box' AS kind, page // 2 AS page, count(*) AS marks, CAST(sum(ink) AS BIGINT) AS mass, CAST(NULL AS BIGINT) AS strokes,
-       max(max_y - min_y + 1) >= least(20, greatest(6, floor({PAGE_H} * 0.25e0 + 0.5e0))) OR sum(ink) >= least(90, {PAGE_W * PAGE_H} * 0.01e0) AS marked
-FROM m WHERE page % 2 = 0 GROUP BY page
+SELECT 'box' AS kind, c.page, count(label) AS marks, coalesce(CAST(sum(ink) AS BIGINT), 0) AS mass, CAST(NULL AS BIGINT) AS strokes,
+       coalesce(max(max_y - min_y + 1) >= least(20, greatest(6, floor({PAGE_H} * 0.25e0 + 0.5e0))) OR sum(ink) >= least(90, {PAGE_W * PAGE_H} * 0.01e0), false) AS marked
+FROM (SELECT DISTINCT page FROM raster) c LEFT JOIN m ON m.page = c.page * 2 GROUP BY c.page
 UNION ALL
-SELECT 'strip', page // 2, count(*), NULL, count(*) FILTER (tall),
-       (count(*) FILTER (tall) >= 2 AND coalesce(max(max_x) FILTER (tall) - min(min_x) FILTER (tall) >= 25, false)) OR max(ink) >= 250
-FROM (SELECT *, max_y - min_y + 1 >= least(20, greatest(6, floor({PAGE_H - 2 * DY} * 0.25e0 + 0.5e0))) AS tall FROM m WHERE page % 2 = 1) GROUP BY page""", "ink24_grown"))
+SELECT 'strip', c.page, count(label), NULL, count(*) FILTER (tall),
+       (count(*) FILTER (tall) >= 2 AND coalesce(max(max_x) FILTER (tall) - min(min_x) FILTER (tall) >= 25, false)) OR coalesce(max(ink) >= 250, false)
+FROM (SELECT DISTINCT page FROM raster) c
+LEFT JOIN (SELECT *, max_y - min_y + 1 >= least(20, greatest(6, floor({PAGE_H - 2 * DY} * 0.25e0 + 0.5e0))) AS tall FROM m WHERE page % 2 = 1) s
+  ON s.page = c.page * 2 + 1 GROUP BY c.page""", "ink24_grown"))
 def q_verdict(spark, sf_dir):
-    """Whole pages as boxes, trimmed pages as strips; both are labelled in one go."""
-    ink = dark(spark, sf_dir, 16)
-    both = ink.withColumn("page", F.col("page") * 2).unionByName(
-        components.inset_rows(ink, PAGE_H).withColumn("page", F.col("page") * 2 + 1)
+    """Whole pages as boxes, trimmed pages as strips, each labelled once; every fifth page is blank."""
+    ink = views.scanlines(spark, sf_dir).withColumn(
+        "px", F.transform("px", lambda v: F.when((v < 16) & (F.col("page") % 5 != 3), 1).otherwise(0).cast("smallint"))
     )
-    marks = components.find_marks(both, close=1)
-    box = components.box_verdict(marks.filter("page % 2 = 0"), PAGE_W, PAGE_H)
-    strip = components.strip_verdict(marks.filter("page % 2 = 1"), PAGE_H - 2 * DY)
-    page = F.floor(F.col("page") / 2).cast("bigint").alias("page")
+    boxes, strips = components.find_marks(ink, close=1), components.find_marks(components.inset_rows(ink, PAGE_H), close=1)
     none = F.lit(None).cast("bigint")
-    return box.select(
-        F.lit("box").alias("kind"), page, "marks", "mass", none.alias("strokes"), "marked"
-    ).unionByName(strip.select(
-        F.lit("strip").alias("kind"), page, "marks", none.alias("mass"), "strokes", F.coalesce("marked", F.lit(False)).alias("marked")
+    return components.box_verdict(boxes, PAGE_W, PAGE_H).select(
+        F.lit("box").alias("kind"), "page", "marks", "mass", none.alias("strokes"), "marked"
+    ).unionByName(components.strip_verdict(strips, PAGE_H - 2 * DY).select(
+        F.lit("strip").alias("kind"), "page", "marks", none.alias("mass"), "strokes", "marked"
     ))
 
 
@@ -224,12 +222,16 @@ v AS (SELECT page, angle, CAST(floor(y * c - x * s + 0.5e0) AS BIGINT) + d AS ba
       FROM raster, ang, (VALUES (-1), (0), (1)) t(d) WHERE v < 40),
 r AS (SELECT *, sum(o) OVER (PARTITION BY page, angle, band ORDER BY u ROWS UNBOUNDED PRECEDING) AS run, count(*) OVER (PARTITION BY page, angle, band) AS members FROM (
   SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY page, angle, band ORDER BY u) > 8 THEN 1 ELSE 0 END AS o FROM v)),
-l AS (SELECT page, angle, band, round(max(u) - min(u), 6) AS length FROM r WHERE members >= 4 GROUP BY page, angle, band, run)
-SELECT page, CAST(angle AS BIGINT) AS angle, band, length FROM l WHERE length >= 11
-QUALIFY row_number() OVER (PARTITION BY page ORDER BY length DESC, angle, band) = 1""", "raster"))
+l AS (SELECT page, angle, band, round(max(u) - min(u), 6) AS length FROM r WHERE members >= 4 GROUP BY page, angle, band, run),
+b AS (SELECT page, CAST(angle AS BIGINT) AS angle, band, length FROM l WHERE length >= 11
+  QUALIFY row_number() OVER (PARTITION BY page ORDER BY length DESC, angle, band) = 1),
+n AS (SELECT page, count(*) AS n FROM raster WHERE v < 40 GROUP BY page)
+SELECT n.page, CASE WHEN n <= 85 THEN angle END AS angle, CASE WHEN n <= 85 THEN band END AS band, CASE WHEN n <= 85 THEN length END AS length,
+  CASE WHEN n > 85 THEN 'too dense' WHEN angle IS NULL THEN 'no line' ELSE '' END AS reason FROM n LEFT JOIN b USING (page)""", "raster"))
 def q_hough(spark, sf_dir):
+    """Pages of this size have 70 to 100 pixels of ink; those with more than 85 are too dense here."""
     ink = views.pixels(views.scanlines(spark, sf_dir)).filter("v < 40").select("page", "x", "y")
-    return tally.strongest_line(ink, half_band=1)
+    return tally.strongest_line(ink, half_band=1, max_ink=85)
 
 
 RULES = f"""cal AS (SELECT page, y FROM raster GROUP BY page, y HAVING count(*) FILTER (v < 170) < {PAGE_W} * 0.3e0),

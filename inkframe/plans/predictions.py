@@ -79,8 +79,7 @@ def q_reachable(spark, sf_dir):
 SELECT source, cell, count(*) AS digits,
        CASE WHEN count(*) <= 3 THEN CAST(string_agg(CAST(predicted AS VARCHAR), '' ORDER BY k, predicted, conf) AS BIGINT) END AS value,
        CASE WHEN count(*) <= 3 THEN min(conf) END AS confidence
-FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY source, cell ORDER BY k, predicted, conf) <= 4)
-GROUP BY source, cell""", "pred"))
+FROM pred GROUP BY source, cell""", "pred"))
 def q_number(spark, sf_dir):
     """Digits of a cell put together; more than three is no number, the worst digit is its trust."""
     return readings.digits_to_number(views.pred(spark, sf_dir))

@@ -193,14 +193,19 @@ def q_banner_overlap(spark, sf_dir):
 
 
 @query("q_iou", with_views("""WITH m AS (SELECT page, x, y FROM mask),
-nxt AS (SELECT page - 1 AS page, x, y FROM m)
-SELECT page, count(*) FILTER (a AND b) AS inter, count(*) AS uni, round(count(*) FILTER (a AND b) / count(*), 6) AS iou
-FROM (SELECT coalesce(m.page, nxt.page) AS page, m.page IS NOT NULL AS a, nxt.page IS NOT NULL AS b
-      FROM m FULL JOIN nxt ON m.page = nxt.page AND m.x = nxt.x AND m.y = nxt.y) GROUP BY page""", "mask"))
+nxt AS (SELECT page - 1 AS page, x, y FROM m),
+o AS (SELECT page, count(*) FILTER (a AND b) AS inter, count(*) AS uni, count(*) FILTER (a AND NOT b) AS minus
+  FROM (SELECT coalesce(m.page, nxt.page) AS page, m.page IS NOT NULL AS a, nxt.page IS NOT NULL AS b
+        FROM m FULL JOIN nxt ON m.page = nxt.page AND m.x = nxt.x AND m.y = nxt.y) GROUP BY page),
+k AS (SELECT s_suppkey AS page FROM supplier UNION SELECT s_suppkey - 1 FROM supplier UNION SELECT -10 - s_suppkey FROM supplier)
+SELECT page, coalesce(inter, 0) AS inter, coalesce(uni, 0) AS uni, coalesce(minus, 0) AS minus,
+       CASE WHEN uni IS NULL THEN 1e0 ELSE round(inter / uni, 6) END AS iou FROM k LEFT JOIN o USING (page)""", "mask"))
 def q_iou(spark, sf_dir):
-    """Each page's ink mask against the next page's."""
+    """Each page's ink mask against the next page's; pages below zero have no ink on either side."""
     m = views.pixels(views.scanlines(spark, sf_dir)).filter("v < 170").select("page", "x", "y")
-    return raster.mask_overlap(m, m.withColumn("page", F.col("page") - 1), ["page"], ["x", "y"])
+    key = F.col("s_suppkey")
+    over = table(spark, sf_dir, "supplier").select(F.explode(F.array(key, key - 1, -10 - key)).alias("page"))
+    return raster.mask_overlap(m, m.withColumn("page", F.col("page") - 1), ["page"], ["x", "y"], over)
 
 
 @query("q_classify", with_views(f"""WITH b AS (

@@ -179,11 +179,15 @@ def q_strings(spark, sf_dir):
     ).withColumn("match_key", text.match_key(n))
 
 
-@query("q_colname", f"""
-SELECT p_partkey AS id, 1 + p_partkey % 18278 AS idx, {LETTERS.format(i='(1 + p_partkey % 18278)')} AS letters,
-       1 + p_partkey % 18278 AS back FROM part""")
+@query("q_colname", """WITH RECURSIVE r AS (
+  SELECT p_partkey AS id, (p_partkey + 1) * (p_partkey + 1) * (p_partkey + 1) AS idx, (p_partkey + 1) * (p_partkey + 1) * (p_partkey + 1) AS n, '' AS letters FROM part
+  UNION ALL
+  SELECT id, idx, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || letters FROM r WHERE n > 0)
+SELECT id, idx, letters, idx AS back FROM r WHERE n = 0""")
 def q_colname(spark, sf_dir):
-    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 18278 + 1).alias("idx"))
+    """The cube of the key and one, so that names of one letter to seven and more come up."""
+    k = F.col("p_partkey").cast("bigint") + 1
+    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (k * k * k).alias("idx"))
     return x.withColumn("letters", text.column_name(F.col("idx"))).withColumn("back", text.column_index(F.col("letters")))
 
 
@@ -226,7 +230,7 @@ scans AS (SELECT DISTINCT lower(regexp_replace(place, '[^A-Za-z0-9]', '', 'g'))
 sheets AS (SELECT DISTINCT CASE WHEN k % 3 = 0 THEN 'Data ' || strftime(d + to_days(CAST(k % 2 AS INTEGER)), '20%y-%m-%d') || ' ' || place
              ELSE place || ' (' || month(d + to_days(CAST(k % 2 AS INTEGER))) || '_' || day(d + to_days(CAST(k % 2 AS INTEGER))) || '_' || strftime(d, '%y') || ') data' END || '.xlsx' AS sheet FROM base),
 keyed AS (SELECT sheet, lower(regexp_replace(sheet, '[^A-Za-z0-9]', '', 'g')) AS key FROM sheets)
-SELECT name, min(sheet) AS sheet FROM scans s JOIN keyed k
+SELECT name, min(sheet) AS sheet FROM scans s LEFT JOIN keyed k
   ON contains(k.key, s.pk) AND (contains(k.key, s.s1) OR contains(k.key, s.s2)) GROUP BY name""")
 def q_fuzzy(spark, sf_dir):
     """Scan folders matched to datasheet files by place and date in the name."""
