@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import id_chunk, numbered
+from ..operators.ordered import numbered
 
 SUFFIXES = ("jpg", "jpeg")
 IMAGE_SCHEMA = (
@@ -26,9 +26,15 @@ def _event(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def _order_number(file: Column) -> Column:
-    """The whole number made of all digits in a file name, 0 if there are none."""
-    return F.coalesce(F.regexp_replace(file, r"\D", "").try_cast("bigint"), F.lit(0).cast("bigint"))
+def _order_number(file: Column) -> list[Column]:
+    """The whole number made of all digits in a file name, of any length: its digits counted, then compared as text."""
+    digits = F.regexp_replace(F.regexp_replace(file, r"\D", ""), "^0+", "")
+    return [F.length(digits), digits]
+
+
+def _glob(suffixes: Sequence[str]) -> str:
+    """File names of these suffixes in any case, for the listing itself."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
 
 
 def _is_page(file: Column, suffixes: Sequence[str]) -> Column:
@@ -41,19 +47,22 @@ def page_numbers(spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFI
     Only the listing is read. File contents are never part of the ordering.
     """
     listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(suffixes)).load(path).select("path")
         .select(_event(F.col("path")).alias("event"), _file(F.col("path")).alias("file"))
     )
-    listing = listing.filter(_is_page(F.col("file"), suffixes)).withColumn("_n", _order_number(F.col("file")))
-    ordered = numbered(
-        listing.withColumn("_chunk", id_chunk("_n")), ["event"], ["_chunk"], [F.col("_n"), F.col("file")], "page_no"
-    )
+    length, digits = _order_number(F.col("file"))
+    listing = listing.filter(_is_page(F.col("file"), suffixes)).withColumn("_length", length).withColumn("_digits", digits)
+    # Chunks follow the order: digits counted, the leading part of the number, then the name's start where there is no number.
+    listing = listing.withColumn("_head", F.when(F.col("_length") > 4, F.expr("left(_digits, _length - 4)")).otherwise(""))
+    listing = listing.withColumn("_name", F.when(F.col("_length") == 0, F.substring("file", 1, 4)).otherwise(""))
+    order = [F.col("_digits"), F.col("file")]
+    ordered = numbered(listing, ["event"], ["_length", "_head", "_name"], order, "page_no")
     return ordered.select("event", "file", "page_no")
 
 
 def read_pages(spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Decoded page images `(event, file, image)`; decoding is the JVM's."""
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(suffixes)).load(path)
     return _named(images, suffixes)
 
 
@@ -63,7 +72,7 @@ def stream_pages(
     """The same as a stream; at most `files_per_trigger` pages are held at a time."""
     images = (
         spark.readStream.format("image").schema(IMAGE_SCHEMA).option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_trigger).load(path)
+        .option("pathGlobFilter", _glob(suffixes)).option("maxFilesPerTrigger", files_per_trigger).load(path)
     )
     return _named(images, suffixes)
 
@@ -91,7 +100,19 @@ def _grey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _readable() -> Column:
+    """The image source marks a file that it cannot decode with a height of -1."""
+    size = F.col("image.height") * F.col("image.width") * F.col("image.nChannels")
+    return F.coalesce((F.col("image.height") > 0) & (F.length("image.data") == size), F.lit(False))
+
+
+def rejected_images(images: DataFrame) -> DataFrame:
+    """`(event, file, reason)` of pages whose file is no image; `to_scanlines` leaves those out."""
+    reason = F.when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "not decodable").otherwise("incomplete pixels")
+    return images.filter(~_readable()).select("event", "file", reason.alias("reason"))
+
+
 def to_scanlines(images: DataFrame) -> DataFrame:
-    """Decoded images to grey lines, one page at a time in Arrow; no shuffle."""
-    flat = images.select("event", "file", "image.height", "image.width", "image.nChannels", "image.data")
+    """Decoded images to grey lines, one page at a time in Arrow; no shuffle. See `rejected_images` for the rest."""
+    flat = images.filter(_readable()).select("event", "file", "image.height", "image.width", "image.nChannels", "image.data")
     return flat.mapInArrow(_grey, LINES_SCHEMA)

@@ -97,9 +97,18 @@ def read_exemplars(spark: SparkSession, path: str) -> DataFrame:
     return x.select("k", "ex", "label", byte.alias("v"))
 
 
+def _replace(rows: DataFrame, path: str, by: str, fmt: str) -> None:
+    """Replace the folders of the values of `by` that come up, and leave the others alone.
+
+    Rows of a value meet before they are written, so that it gets few files; large values are split by Spark.
+    """
+    gathered = rows.hint("rebalance", F.col(by))
+    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(fmt).save(path)
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
     """Freeze cells once, by event, so that any number of rules can be scored on them later."""
-    cells.write.mode("overwrite").partitionBy("event").parquet(path)
+    _replace(cells, path, "event", "parquet")
 
 
 def rescore(spark: SparkSession, path: str, events: list[str] | None = None) -> DataFrame:
@@ -110,7 +119,7 @@ def rescore(spark: SparkSession, path: str, events: list[str] | None = None) ->
 
 def write_samples(labels: DataFrame, path: str) -> None:
     """Labelled digits as JSON lines, by source."""
-    labels.write.mode("overwrite").partitionBy("source").json(path)
+    _replace(labels, path, "source", "json")
 
 
 def write_prefills(prefills: DataFrame, path: str) -> None:
@@ -118,15 +127,26 @@ def write_prefills(prefills: DataFrame, path: str) -> None:
     prefills.write.mode("overwrite").json(path)
 
 
-def write_exemplars(samples: DataFrame, path: str) -> None:
-    """Exemplars as raw bytes in base64, one JSON row each."""
-    hexes = F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), "")
-    samples.select("source", "label", F.base64(F.unhex(hexes)).alias("b")).write.mode("overwrite").json(path)
+def write_exemplars(samples: DataFrame, path: str, k: int = 5, accuracy: float | None = None) -> None:
+    """A model as `read_exemplars` reads it: k, accuracy, training sources, and exemplars as raw bytes in base64.
+
+    A model is one JSON record, and so one row: it holds the exemplars that a reader compares with, a bounded number.
+    A value that is no whole number from 0 to 255 is refused.
+    """
+    fits = F.forall("v", lambda x: x.isNotNull() & (x == F.floor(x)) & x.between(0, 255))
+    checked = F.when(fits, F.col("v")).otherwise(F.raise_error(F.lit("an exemplar's value is no whole number from 0 to 255")))
+    hexes = F.array_join(F.transform(checked, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), "")
+    packed = samples.select("source", F.col("label").cast("int").alias("label"), F.base64(F.unhex(hexes)).alias("b"))
+    model = packed.agg(
+        F.lit(k).alias("k"), F.lit(accuracy).cast("double").alias("digitAccuracy"), F.array_sort(F.collect_set("source")).alias("trainedOn"),
+        F.transform(F.array_sort(F.collect_list(F.struct("source", "label", "b"))), lambda s: F.struct(s["label"].alias("label"), s["b"].alias("b"))).alias("samples"),
+    )
+    model.write.mode("overwrite").json(path)
 
 
 def write_datasheet(edits: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Datasheet edits by event."""
-    edits.write.mode("overwrite").partitionBy("event").format(fmt).save(path)
+    _replace(edits, path, "event", fmt)
 
 
 def card_column(cards: DataFrame) -> DataFrame:

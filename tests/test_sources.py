@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from inkframe.sources import pages, tables
 
@@ -46,6 +47,16 @@ def test_pages_to_lines(spark, tmp_path):
         assert (np.array(got[name]) == want).all()
 
 
+def test_long_numbers_and_damaged_files(spark, tmp_path):
+    scan(tmp_path / "ev", ["p2.png", "12345678901234567890.png", "p010.png", "9999999999999999999.png"], np.random.default_rng(2))
+    (tmp_path / "ev" / "p3.png").write_bytes(b"no image at all")
+    numbers = {r.file: r.page_no for r in pages.page_numbers(spark, str(tmp_path), ("png",)).collect()}
+    assert sorted(numbers, key=numbers.get) == ["p2.png", "p3.png", "p010.png", "9999999999999999999.png", "12345678901234567890.png"]
+    images = pages.read_pages(spark, str(tmp_path), ("png",))
+    assert [tuple(r) for r in pages.rejected_images(images).collect()] == [("ev", "p3.png", "not decodable")]
+    assert {r.file for r in pages.to_scanlines(images).collect()} == set(numbers) - {"p3.png"}
+
+
 def test_streamed_pages_equal_batch(spark, tmp_path):
     scan(tmp_path / "in" / "ev", [f"p{i}.png" for i in range(5)], np.random.default_rng(1))
     src = pages.stream_pages(spark, str(tmp_path / "in"), ("png",), files_per_trigger=2)
@@ -97,13 +108,24 @@ def test_samples_and_exemplars(spark, tmp_path):
     assert (r.k, r.label, r.v) == (5, 9, [0.0, 255.0, 128.0])
     df = tables.read_samples(spark, str(tmp_path / "beta.json"))
     tables.write_exemplars(df, str(tmp_path / "out"))
-    assert base64.b64decode(spark.read.json(str(tmp_path / "out")).first().b) == bytes([0, 255, 7])
+    back = tables.read_exemplars(spark, str(tmp_path / "out")).collect()
+    assert [(r.k, r.ex, r.label, r.v) for r in back] == [(5, 0, 3, [0.0, 255.0, 7.0])]
+    tables.write_exemplars(df, str(tmp_path / "out"), k=9, accuracy=0.7)
+    model = spark.read.json(str(tmp_path / "out")).first()
+    assert (model.k, model.digitAccuracy, model.trainedOn) == (9, 0.7, ["file"])
+    for bad in ([256.0], [-1.0], [0.5], [None]):
+        with pytest.raises(Exception, match="no whole number"):
+            tables.write_exemplars(spark.createDataFrame([("s", 1, bad)], "source string, label int, v array<double>"), str(tmp_path / "bad"))
 
 
 def test_frozen_cells(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.7)], "event string, card int, ink double")
     tables.write_cells(df, str(tmp_path / "cells"))
     assert tables.rescore(spark, str(tmp_path / "cells"), ["b"]).first().ink == 0.7
+    more = spark.createDataFrame([("b", 2, 0.9), ("c", 1, 0.1)], "event string, card int, ink double")
+    tables.write_cells(more, str(tmp_path / "cells"))
+    # a's folder stays, b's is replaced, c's is new
+    assert {(r.event, r.card) for r in tables.rescore(spark, str(tmp_path / "cells")).collect()} == {("a", 1), ("b", 2), ("c", 1)}
     tables.write_datasheet(df, str(tmp_path / "sheet"))
     assert spark.read.parquet(str(tmp_path / "sheet")).count() == 2
     tables.write_prefills(df, str(tmp_path / "fills"))
