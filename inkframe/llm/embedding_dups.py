@@ -16,7 +16,7 @@ SAMPLE, ITERATIONS, ROTATIONS, BITS = 4096, 40, 3, 16
 #: Share of differing bits up to which two codes are candidates. At cosine 0.98 the expected share is 0.064.
 NEAR = 0.14
 #: Members of a table's bucket, and vectors of a component, that one group compares; larger ones are cut into blocks.
-BUCKET, BLOCK = 4096, 1024
+BUCKET, BLOCK = 4096, 256
 
 
 def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, iterations: int = ITERATIONS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
