@@ -13,56 +13,77 @@ from ..functions.vectors import SHIFTS, moved, prepared, unit
 from .ordered import first_n
 
 POOL, K = 25, 5
-BLOCK = 2048
+# Rows that a classifier keeps to compare with; a shipped model has some 3,300.
+EXEMPLARS = 4096
 
 
-def _blocked(df: DataFrame, name: str, blocks: int) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
+def chosen_exemplars(samples: DataFrame, limit: int = EXEMPLARS) -> DataFrame:
+    """At most `limit` samples to compare with, as many of each label as there are, in a fixed scattered order of ids.
+
+    Labels take turns: the first of each, then the second of each, until the limit. The group limit runs before the
+    shuffle, so a hot label costs each task `limit` rows.
+    """
+    scattered = F.pmod(F.col("sample_id") * 40503, F.lit(65536))
+    turns = first_n(samples, ["label"], [scattered, F.col("sample_id")], limit, "_turn")
+    return turns.orderBy("_turn", "label").limit(limit).drop("_turn")
 
 
-def neighbours(samples: DataFrame, *, pool: int = POOL, side: int = 8, block: int = BLOCK) -> DataFrame:
-    """The `pool` nearest exemplars of other events per sample: `(query, rank, ex, label, d, d_shift)`.
+def neighbours(
+    samples: DataFrame, exemplars: DataFrame | None = None, *, pool: int = POOL, side: int = 8, limit: int = EXEMPLARS
+) -> DataFrame:
+    """The `pool` nearest exemplars per sample: `(query, rank, ex, label, d, d_shift)`.
 
-    `d` is squared distance; `d_shift` the least over the query moved one pixel each way. Samples
-    are hashed into blocks of bounded size; every pair of blocks is one task, which compares
-    whole matrices and hands on only each query's best. No event and no label is a group, so a
-    hot one changes nothing, and no side is broadcast.
+    Exemplars are given, or chosen from the samples themselves; those of a sample's own `source` don't count for it. `d` is
+    squared distance; `d_shift` the least over the query moved one pixel each way. A classifier's exemplars are a fixed number,
+    so their one matrix goes to every task, and samples are compared where they are: no shuffle, and work in
+    proportion to the samples. More exemplars than `limit` are refused.
     """
-    ready = samples.select("sample_id", "source", "label", prepared(side)("v").alias("v"))
-    blocks = max(1, -(-samples.count() // block))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cols = ["sample_id", "source", "label", "v"]
-    asked = _blocked(ready, "qb", blocks).select("qb", F.explode(every).alias("eb"), F.lit(True).alias("asks"), *cols)
-    known = _blocked(ready, "eb", blocks).select(F.explode(every).alias("qb"), "eb", F.lit(False).alias("asks"), *cols)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query", "ex", "label", "d", "d_shift"]
-        q, e = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if len(q) == 0 or len(e) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        e = e.sort_values("sample_id", ignore_index=True)
-        a, b = np.stack(q["v"].to_numpy()), np.stack(e["v"].to_numpy())
-        own = q["source"].to_numpy()[:, None] == e["source"].to_numpy()[None, :]
-        d = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0), 9)
-        d[own] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :pool]
-        picked = b[near]
-        best = np.full(near.shape, np.inf)
-        for dx, dy in SHIFTS:
-            m = unit(moved(a.reshape(-1, side, side), dx, dy).reshape(len(a), -1))
-            best = np.minimum(best, ((picked - m[:, None, :]) ** 2).sum(2))
-        rows = np.repeat(np.arange(len(q)), near.shape[1])
-        flat = near.ravel()
-        out = pd.DataFrame({
-            "query": q["sample_id"].to_numpy()[rows], "ex": e["sample_id"].to_numpy()[flat],
-            "label": e["label"].to_numpy()[flat], "d": d[rows, flat], "d_shift": np.round(best.ravel(), 9),
-        })
-        return out[np.isfinite(out["d"])]
-
-    found = asked.unionByName(known).groupBy("qb", "eb").applyInPandas(
-        compare, "query bigint, ex bigint, label int, d double, d_shift double"
-    )
-    return first_n(found, ["query"], [F.col("d"), F.col("ex")], pool, "rank")
+    spark = samples.sparkSession
+    model = chosen_exemplars(samples, limit) if exemplars is None else exemplars
+    known = model.select("sample_id", "source", "label", prepared(side)("v").alias("v")).limit(limit + 1).toPandas()
+    if len(known) > limit:
+        raise ValueError(f"more than {limit} exemplars")
+    known = known.sort_values("sample_id", ignore_index=True)
+    matrix = np.stack(known["v"].to_numpy()) if len(known) else np.zeros((0, side * side))
+    sent = spark.sparkContext.broadcast((matrix, known["sample_id"].to_numpy(), known["label"].to_numpy(), known["source"].to_numpy()))
+    columns = ["query", "rank", "ex", "label", "d", "d_shift"]
+
+    def compare(batches):
+        b, ex, label, source = sent.value
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                q = whole.iloc[at:at + 512]
+                a = np.stack(q["v"].to_numpy())
+                d = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0), 9)
+                d[q["source"].to_numpy()[:, None] == source[None, :]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :pool]
+                picked, best = b[near], np.full(near.shape, np.inf)
+                for dx, dy in SHIFTS:
+                    m = unit(moved(a.reshape(-1, side, side), dx, dy).reshape(len(a), -1))
+                    best = np.minimum(best, ((picked - m[:, None, :]) ** 2).sum(2))
+                rows, flat = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
+                out = pd.DataFrame({
+                    "query": q["sample_id"].to_numpy()[rows], "rank": np.tile(np.arange(1, near.shape[1] + 1), len(q)), "ex": ex[flat],
+                    "label": label[flat], "d": d[rows, flat], "d_shift": np.round(best.ravel(), 9),
+                }, columns=columns)
+                yield out[np.isfinite(out["d"])]
+
+    ready = samples.select("sample_id", "source", prepared(side)("v").alias("v"))
+    if not len(known):
+        return ready.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in zip(columns, ("bigint", "int", "bigint", "int", "double", "double"))])
+    return ready.mapInPandas(compare, "query bigint, rank int, ex bigint, label int, d double, d_shift double")
+
+
+def classify_against(queries: DataFrame, exemplars: DataFrame, *, k: int = K, pool: int = POOL, side: int = 8) -> DataFrame:
+    """New bitmaps `(sample_id, v)` read with a model's exemplars `(label, v)`: `(query, predicted, conf)`, one row each.
+
+    Without exemplars the reading is null and its confidence 0. Exemplars are numbered by `ex` if they have it.
+    """
+    number = F.col("ex") if "ex" in exemplars.columns else F.col("sample_id")
+    model = exemplars.select(number.cast("bigint").alias("sample_id"), F.lit(1).alias("source"), F.col("label").cast("int").alias("label"), "v")
+    asked = queries.select("sample_id", F.lit(0).alias("source"), "v")
+    read = classify(neighbours(asked, model, pool=pool, side=side), k)
+    return queries.select(F.col("sample_id").alias("query")).join(read, "query", "left").na.fill(0.0, ["conf"])
 
 
 def classify(near: DataFrame, k: int = K) -> DataFrame:
@@ -81,7 +102,7 @@ def classify(near: DataFrame, k: int = K) -> DataFrame:
 
 
 def leave_one_event_out(samples: DataFrame, **options) -> DataFrame:
-    """Every sample classified from the other events only, in one job."""
+    """Every sample classified from the exemplars of other events only, in one job."""
     votes = classify(neighbours(samples, **options))
     return votes.join(samples.select(F.col("sample_id").alias("query"), "source", "label"), "query")
 
