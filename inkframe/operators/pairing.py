@@ -143,6 +143,32 @@ def pairing_problems(
     return misaligned.unionByName(breaks).unionByName(odd)
 
 
+def card_cells(cards: DataFrame, pages: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells of both sides of a card in order of item rows: `(event, card_no, place, side, page_no, item_row, ...)`.
+
+    `pages` are those that may be read, as `trusted_pages` gives them; a side on any other page brings no cells. A card
+    has the rows of its form, so it is ordered in one place. Of equal rows the front's comes first.
+    """
+    side = lambda name, k: F.struct(F.lit(name).alias("side"), F.lit(k).alias("_k"), F.col(f"{name}_page").alias("page_no"))
+    sides = cards.select("event", "card_no", F.inline(F.array(side("front", 0), side("back", 1)))).filter(F.col("page_no").isNotNull())
+    read = sides.join(pages.select("event", "page_no"), ["event", "page_no"], "left_semi").join(cells, ["event", "page_no"])
+    rest = [c for c in cells.columns if c not in ("event", "page_no", "item_row")]
+    order = Window.partitionBy("event", "card_no").orderBy("item_row", "_k", *rest)
+    place = F.row_number().over(order).cast("bigint").alias("place")
+    return read.select("event", "card_no", place, "side", "page_no", "item_row", *rest)
+
+
+def unread_sides(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cards with the sides that bring no cells, absent or not trusted: `(event, card_no, missing_sides)`."""
+    ok = pages.select("event", F.col("page_no").alias("_p"), F.lit(True).alias("_ok"))
+    x = cards
+    for name in ("front", "back"):
+        there = ok.withColumnRenamed("_p", f"{name}_page").withColumnRenamed("_ok", f"_{name}")
+        x = x.join(there, ["event", f"{name}_page"], "left")
+    gone = F.concat_ws(",", *[F.when(F.col(f"_{n}").isNull(), n) for n in ("front", "back")])
+    return x.select("event", "card_no", gone.alias("missing_sides"))
+
+
 def trusted_pages(pages: DataFrame, *, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """Pages that lie well enough on their reference to be cut."""
     return pages.filter(F.col("overlap") >= min_overlap)

@@ -525,7 +525,7 @@ def rotate(lines: DataFrame, angles: DataFrame) -> DataFrame:
 
 
 def moments(lines: DataFrame) -> DataFrame:
-    """Ink mass (255-v), centre and shear of each page, from sums taken per line."""
+    """Ink mass (255-v), centre and shear of each page, from sums taken per line. A page without ink has no centre and no shear."""
     ink = F.transform("px", lambda v: F.lit(255).cast("bigint") - v)
     per_line = lines.select(
         "page", "y", _total(ink).alias("s"), _total(F.transform(ink, lambda v, i: v * i)).alias("sx")
@@ -534,10 +534,11 @@ def moments(lines: DataFrame) -> DataFrame:
         F.sum("s").alias("mass"), F.sum("sx").alias("_sx"), F.sum(F.col("s") * F.col("y")).alias("_sy"),
         F.sum(F.col("sx") * F.col("y")).alias("_sxy"), F.sum(F.col("s") * F.col("y") * F.col("y")).alias("_syy"),
     )
-    cx, cy = F.col("_sx") / F.col("mass"), F.col("_sy") / F.col("mass")
-    mu11 = F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("mass")
-    mu02 = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("mass")
-    return g.filter("mass > 0").select(
+    cx, cy = (F.when(F.col("mass") > 0, F.col(c) / F.col("mass")) for c in ("_sx", "_sy"))
+    g = g.withColumn("_safe", F.greatest("mass", F.lit(1)))
+    mu11 = F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("_safe")
+    mu02 = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("_safe")
+    return g.select(
         "page", "mass", F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"),
         F.round(F.when(mu02 > 1e-6, mu11 / mu02).otherwise(0.0), 6).alias("skew"),
     )

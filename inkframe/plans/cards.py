@@ -62,3 +62,25 @@ def q_batches(spark, sf_dir):
     """Pages of each feed in sheets of 24, for looking at."""
     pages = views.seq(spark, sf_dir).select("event", "page_no").withColumn("_chunk", ordered.id_chunk("page_no"))
     return ordered.batched(pages, ["event"], ["_chunk"], [F.col("page_no")], 24).drop("_chunk")
+
+
+@query("q_card_cells", with_views(f"""WITH {PAIRED},
+cells AS (SELECT event, page_no, 18 + (page_no * 7 + j * 31) % 83 AS item_row, j FROM seq, (SELECT CAST(range AS BIGINT) AS j FROM range(4))),
+s AS (SELECT event, card_no, 'front' AS side, 0 AS k, front_page AS page_no FROM cards WHERE front_page IS NOT NULL
+      UNION ALL SELECT event, card_no, 'back', 1, back_page FROM cards WHERE back_page IS NOT NULL)
+SELECT event, card_no, row_number() OVER (PARTITION BY event, card_no ORDER BY item_row, k, j) AS place, side, page_no, item_row, j
+FROM s JOIN cells USING (event, page_no) WHERE (event, page_no) IN (SELECT (event, page_no) FROM seq WHERE overlap >= 0.75e0)""", "seq"))
+def q_card_cells(spark, sf_dir):
+    """Four cells of every page, in order of item rows over both trusted sides of each card."""
+    pages = views.seq(spark, sf_dir)
+    j = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")))
+    cells = pages.select("event", "page_no", j.alias("j")).withColumn("item_row", (F.col("page_no") * 7 + F.col("j") * 31) % 83 + 18)
+    return pairing.card_cells(pairing.pair_pages(pages), pairing.trusted_pages(pages), cells)
+
+
+@query("q_unread", with_views(f"""WITH {PAIRED}, ok AS (SELECT event, page_no FROM seq WHERE overlap >= 0.75e0)
+SELECT c.event, c.card_no, concat_ws(',', CASE WHEN f.page_no IS NULL THEN 'front' END, CASE WHEN b.page_no IS NULL THEN 'back' END) AS missing_sides
+FROM cards c LEFT JOIN ok f ON f.event = c.event AND f.page_no = c.front_page LEFT JOIN ok b ON b.event = c.event AND b.page_no = c.back_page""", "seq"))
+def q_unread(spark, sf_dir):
+    pages = views.seq(spark, sf_dir)
+    return pairing.unread_sides(pairing.pair_pages(pages), pairing.trusted_pages(pages))

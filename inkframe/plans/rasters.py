@@ -344,9 +344,13 @@ def q_rotate(spark, sf_dir):
 SELECT page, mass, round(sx / mass, 6) AS cx, round(sy / mass, 6) AS cy,
        round(CASE WHEN syy - sy * sy / mass > 1e-6 THEN (sxy - sx * sy / mass) / (syy - sy * sy / mass) ELSE 0 END, 6) AS skew
 FROM (SELECT page, CAST(sum(255 - v) AS BIGINT) AS mass, CAST(sum((255 - v) * x) AS BIGINT) AS sx, CAST(sum((255 - v) * y) AS BIGINT) AS sy,
-             CAST(sum((255 - v) * x * y) AS BIGINT) AS sxy, CAST(sum((255 - v) * y * y) AS BIGINT) AS syy FROM raster GROUP BY page) WHERE mass > 0""", "raster"))
+             CAST(sum((255 - v) * x * y) AS BIGINT) AS sxy, CAST(sum((255 - v) * y * y) AS BIGINT) AS syy FROM raster WHERE page % 5 <> 3 GROUP BY page)
+UNION ALL SELECT DISTINCT page, 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0e0 FROM raster WHERE page % 5 = 3""", "raster"))
 def q_moments(spark, sf_dir):
-    return raster.moments(views.scanlines(spark, sf_dir))
+    """Every fifth page is blank."""
+    lines = views.scanlines(spark, sf_dir)
+    paper = F.transform("px", lambda v: F.lit(255).cast("smallint"))
+    return raster.moments(lines.withColumn("px", F.when(F.col("page") % 5 == 3, paper).otherwise(F.col("px"))))
 
 
 # ------------------------------------------------------------------ alignment
@@ -362,7 +366,7 @@ def q_skew(spark, sf_dir):
 
 
 def paired_profiles(spark, sf_dir):
-    """Each page's row profile beside that of the page before it in its group of ten."""
+    """Each page's row profile beside that of the page before it."""
     prof = raster.profile_arrays(raster.row_profile(views.scanlines(spark, sf_dir)))
     ref = prof.select((F.col("page") + 1).alias("page"), F.col("a").alias("ref"))
     return prof.withColumnRenamed("a", "v").join(ref, "page")
@@ -372,11 +376,11 @@ def paired_profiles(spark, sf_dir):
   SELECT p.page, i, v - m AS v FROM rowprof p JOIN (SELECT page, avg(v) AS m FROM rowprof GROUP BY page) USING (page)),
 z AS (SELECT page, CASE WHEN sqrt(sum(v * v)) > 0 THEN sqrt(sum(v * v)) ELSE 1 END AS z FROM n GROUP BY page),
 s AS (SELECT b.page, k AS shift, round(sum(a.v * b.v) / (max(za.z) * max(zb.z)), 9) AS score
-  FROM n a JOIN (SELECT CAST(range AS BIGINT) AS k FROM range(-20, 21)) ON true
+  FROM n a JOIN (SELECT CAST(range AS BIGINT) AS k FROM range(-40, 41)) ON true
   JOIN n b ON b.page = a.page + 1 AND b.i = a.i + k JOIN z za ON za.page = a.page JOIN z zb ON zb.page = b.page GROUP BY b.page, k)
 SELECT page, shift, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, shift) = 1""", "rowprof"))
 def q_best_shift(spark, sf_dir):
-    return raster.best_shift(paired_profiles(spark, sf_dir), max_shift=20)
+    return raster.best_shift(paired_profiles(spark, sf_dir), max_shift=40)
 
 
 def _fit_sql(src: str, i0: int, i1: int, grid: str, unit: int, need: float) -> str:
@@ -393,17 +397,17 @@ def _fit_sql(src: str, i0: int, i1: int, grid: str, unit: int, need: float) -> s
 
 @query("q_axis_fit", with_views(f"""WITH small AS (SELECT page, i // 2 AS i, avg(v) AS v FROM rowprof GROUP BY ALL HAVING count(*) = 2),
 pairs AS (SELECT DISTINCT a.page FROM rowprof a SEMI JOIN rowprof b ON b.page = a.page - 1),
-g1 AS (SELECT page, si, oi, 1 - 0.06e0 + 0.02e0 * si AS scale, -10e0 + 2e0 * oi AS off
-       FROM pairs, (SELECT range AS si FROM range(7)), (SELECT range AS oi FROM range(11))),
+g1 AS (SELECT page, si, oi, 1 - 0.06e0 + 0.004e0 * si AS scale, -10e0 + 2e0 * oi AS off
+       FROM pairs, (SELECT range AS si FROM range(31)), (SELECT range AS oi FROM range(11))),
 c1 AS (SELECT * FROM {_fit_sql('small', 2, 22, 'g1', 2, 12.0)} QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, si, oi) = 1),
-g2 AS (SELECT page, d.range AS si, e.range AS oi, scale + 0.005e0 * d.range AS scale, off + 0.5e0 * e.range AS off
-       FROM c1, range(-2, 3) d, range(-4, 5) e)
+g2 AS (SELECT page, d.range AS si, e.range AS oi, scale + 0.0005e0 * d.range AS scale, off + 0.5e0 * e.range AS off
+       FROM c1, range(-10, 11) d, range(-16, 17) e)
 SELECT page, round(scale, 6) AS scale, round(off, 6) AS offset, round(score, 6) AS score
 FROM {_fit_sql('rowprof', 4, 45, 'g2', 1, 24.6)} QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, si, oi) = 1""", "rowprof"))
 def q_axis_fit(spark, sf_dir):
     fit = raster.fit_axis(
-        paired_profiles(spark, sf_dir), 4, 45, max_scale=0.06, scale_step=0.02, max_offset=10, coarse=2,
-        fine_scale=0.01, fine_scale_step=0.005, fine_offset=2, fine_offset_step=0.5,
+        # The steps are those for scans; offsets reach as far as a page of 50 lines allows.
+        paired_profiles(spark, sf_dir), 4, 45, max_offset=10, coarse=2,
     )
     return fit.select("page", *[F.round(c, 6).alias(c) for c in ("scale", "offset", "score")])
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import export, labels, quality, readings
+from ..sources.tables import label_key
+from ..streaming import drafts, metrics
 from . import views
 from .cells import LETTERS
 from .registry import query
@@ -281,3 +283,47 @@ UNION ALL SELECT 'formula column', event, card, item_row FROM job_values WHERE c
 UNION ALL SELECT 'row twice', event, card, item_row FROM job_values GROUP BY ALL HAVING count(*) > 1""", "jobs", "job_values", "taxonomy"))
 def q_quality_events(spark, sf_dir):
     return quality.event_violations(jobs(spark, sf_dir), job_values(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ saves, as a batch
+def saves(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file_name"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value")
+    )
+
+
+@query("q_latest", """
+SELECT file_name, ts, event_id, value FROM (
+  SELECT user_id AS file_name, CAST(ts AS TIMESTAMP) AS ts, event_id, value,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_latest(spark, sf_dir):
+    """The newest save of each file."""
+    return drafts.latest(saves(spark, sf_dir), ["file_name"], ["ts", "event_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("q_progress", """
+SELECT user_id AS event, count(*) AS done, max(event_id % 50) AS total FROM events GROUP BY user_id""")
+def q_progress(spark, sf_dir):
+    pages = table(spark, sf_dir, "events").select(F.col("user_id").alias("event"), (F.col("event_id") % 50).alias("total"))
+    return metrics.progress(pages)
+
+
+@query("q_debounce", """WITH s AS (
+  SELECT user_id AS file_name, CAST(ts AS TIMESTAMP) AS ts, event_id, value FROM events),
+b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY file_name ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM s),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY file_name ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM b)
+SELECT file_name, max(ts) AS saved_at, count(*) AS saves FROM g GROUP BY file_name, burst""")
+def q_debounce(spark, sf_dir):
+    """Bursts of saves with pauses under six hours, and when each ended."""
+    out = drafts.debounced(saves(spark, sf_dir), ["file_name"], quiet="6 hours")
+    return out.select("file_name", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"), "saves")
+
+
+@query("q_label_keys", """
+SELECT event_id, 'scan ' || user_id || ':x' AS event, CAST(event_id % 60 AS INTEGER) AS card, CAST(18 + event_id % 83 AS INTEGER) AS item_row FROM events""")
+def q_label_keys(spark, sf_dir):
+    """Label keys, of scan names that hold a colon themselves, taken apart."""
+    ev = table(spark, sf_dir, "events")
+    key = F.concat(F.lit("scan "), F.col("user_id").cast("string"), F.lit(":x:"), (F.col("event_id") % 60).cast("string"),
+                   F.lit(":"), (F.col("event_id") % 83 + 18).cast("string"))
+    return ev.select("event_id", *label_key(key, F.lit(None)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import column_name
@@ -60,18 +60,22 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("side", F.col("o.row").alias("item_row"), F.col("o.reason").alias("reason"), *boxes)
 
 
+def label_key(key: Column, event: Column) -> list[Column]:
+    """`scan:card:row` or `card:row` taken apart into event, card and item row."""
+    parts = F.split(key, ":")
+    n = F.size(parts)
+    # A scan name may hold colons itself; card and row are the last two parts.
+    scan = F.when(n > 2, F.array_join(F.slice(parts, 1, n - 2), ":")).otherwise(event)
+    return [
+        scan.alias("event"), F.get(parts, n - 2).try_cast("int").alias("card"), F.get(parts, n - 1).try_cast("int").alias("item_row")
+    ]
+
+
 def read_labels(spark: SparkSession, path: str, field: str = "labels") -> DataFrame:
     """Labels kept as `{"scan:card:row": value}` or `{"card:row": value}`, one row per label."""
     raw = spark.read.schema(f"event string, {field} map<string,string>").json(path, multiLine=True)
     x = raw.select("event", F.explode(field).alias("key", "value"))
-    parts = F.split("key", ":")
-    n = F.size(parts)
-    # A scan name may hold colons itself; card and row are the last two parts.
-    scan = F.when(n > 2, F.array_join(F.slice(parts, 1, n - 2), ":")).otherwise(F.col("event"))
-    return x.select(
-        scan.alias("event"), F.get(parts, n - 2).try_cast("int").alias("card"),
-        F.get(parts, n - 1).try_cast("int").alias("item_row"), "value", F.col("value").try_cast("int").alias("n"),
-    )
+    return x.select(*label_key(F.col("key"), F.col("event")), "value", F.col("value").try_cast("int").alias("n"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -7,10 +7,13 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "event string, card_no bigint, front_page bigint, back_page bigint"
+OUT = "event string, card_no bigint, front_page bigint, back_page bigint, late_page bigint"
 QUIET_MS = 600_000
+# Pages of an event that may wait for one that is missing; with more, what is missing is taken to be lost.
+MAX_WAITING = 4096
 STATE = "next_page bigint, cards bigint, held_page bigint, held_side string, pages array<bigint>, sides array<string>, total bigint"
 
 
@@ -20,53 +23,62 @@ def _cards(event: str, cards: int, held: tuple[int, str] | None, page: int, side
         return None, cards, (page, side)
     if held[1] != side:
         front, back = (held[0], page) if held[1] == "front" else (page, held[0])
-        return (event, cards + 1, front, back), cards + 1, None
+        return (event, cards + 1, front, back, None), cards + 1, None
     return _lone(event, cards + 1, held), cards + 1, (page, side)
 
 
 def _lone(event: str, card_no: int, held: tuple[int, str]):
-    return (event, card_no, held[0] if held[1] == "front" else None, held[0] if held[1] == "back" else None)
+    return (event, card_no, held[0] if held[1] == "front" else None, held[0] if held[1] == "back" else None, None)
 
 
 def _pair(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     event = key[0]
     nxt, cards, hp, hs, pages, sides, total = state.get if state.exists else (1, 0, None, None, [], [], None)
     held = (hp, hs) if hp is not None else None
-    waiting = dict(zip(pages, sides, strict=True))
+    waiting, out = dict(zip(pages, sides, strict=True)), []
     for pdf in batches:
-        waiting.update({int(p): s for p, s in zip(pdf["page_no"], pdf["side"], strict=True) if p >= nxt})
+        for p, side in zip(pdf["page_no"], pdf["side"], strict=True):
+            if p >= nxt:
+                waiting[int(p)] = side
+            else:  # its place among the cards is gone; it is told, not dropped
+                out.append((event, None, None, None, int(p)))
         if pdf["total"].notna().any():
             total = int(pdf["total"].max())
-    out = []
     flush = state.hasTimedOut
-    # Pages come in any order; they are taken in page order, and only without gaps - unless
-    # the feed has gone quiet, when what is missing is taken to be lost.
-    while waiting and (nxt in waiting or flush):
+    # Pages come in any order; they are taken in page order, and only without gaps - unless the feed
+    # has gone quiet or too many wait, when what is missing is taken to be lost.
+    while waiting and (nxt in waiting or flush or len(waiting) > MAX_WAITING):
         page = nxt if nxt in waiting else min(waiting)
         card, cards, held = _cards(event, cards, held, page, waiting.pop(page))
         if card:
             out.append(card)
         nxt = page + 1
-    if held and (flush or (total is not None and nxt > total)):
+    done = total is not None and nxt > total
+    if held and (flush or done):
         out.append(_lone(event, cards + 1, held))
         cards, held = cards + 1, None
-    if flush or (total is not None and nxt > total):
-        state.remove()
-    else:
-        hp, hs = held if held else (None, None)
-        state.update((nxt, cards, hp, hs, list(waiting), list(waiting.values()), total))
+    # The point reached and the card count stay, so that a page after a pause is neither taken for the first nor lost.
+    hp, hs = held if held else (None, None)
+    state.update((nxt, cards, hp, hs, list(waiting), list(waiting.values()), total))
+    if held or waiting:
         state.setTimeoutDuration(QUIET_MS)
-    yield pd.DataFrame(out, columns=["event", "card_no", "front_page", "back_page"]).astype(
-        {"front_page": "Int64", "back_page": "Int64"}
+    yield pd.DataFrame(out, columns=["event", "card_no", "front_page", "back_page", "late_page"]).astype(
+        {"card_no": "Int64", "front_page": "Int64", "back_page": "Int64", "late_page": "Int64"}
     )
 
 
 def pair_stream(pages: DataFrame) -> DataFrame:
-    """Cards from a stream of `(event, page_no, side, total)`; page numbers count from 1.
+    """Cards, and pages that came too late for one, from a stream of `(event, page_no, side, total)`; pages count from 1.
 
-    The state of an event is at most one held page and the pages that came early. A feed
-    that announces its total is finished with its last page; others after ten quiet minutes.
+    The state of an event is at most one held page and the pages that came early. A feed that announces its total
+    is finished with its last page; others after ten quiet minutes, and cards go on from there if it wakes up again.
+    A row with `late_page` is a page below the point reached: a resend, or one that had been taken to be lost.
     """
     return pages.groupBy("event").applyInPandasWithState(
         _pair, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+def late_counts(paired: DataFrame) -> DataFrame:
+    """Late pages of each event: `(event, late)`."""
+    return paired.filter(F.col("late_page").isNotNull()).groupBy("event").agg(F.count(F.lit(1)).alias("late"))

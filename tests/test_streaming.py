@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,52 @@ def test_pairing_stream_equals_batch_with_pages_out_of_order(spark, tmp_path):
     assert got == want
 
 
+class FakeState:
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value, self.timeout = value, None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def drive(state, pages, total=None, quiet=False):
+    state.hasTimedOut = quiet
+    pdf = pd.DataFrame({"page_no": [p for p, _ in pages], "side": [s for _, s in pages], "total": [total] * len(pages)})
+    out = pd.concat(list(stream_pairing._pair(("e",), iter([] if quiet else [pdf]), state)))
+    return [tuple(None if pd.isna(v) else v for v in r[1:]) for r in out.itertuples(index=False)]
+
+
+def test_cards_go_on_after_a_quiet_time_and_late_pages_are_told():
+    state = FakeState()
+    assert drive(state, [(1, "front"), (2, "back"), (4, "back")]) == [(1, 1, 2, None)]
+    assert state.timeout == stream_pairing.QUIET_MS
+    assert drive(state, [], quiet=True) == [(2, None, 4, None)]  # page 3 is taken to be lost
+    assert state.timeout is None
+    assert drive(state, [(3, "front"), (5, "front")]) == [(None, None, None, 3)]
+    assert drive(state, [(6, "back"), (6, "back")], total=6) == [(3, 5, 6, None)]
+    assert drive(state, [(6, "back")]) == [(None, None, None, 6)]
+
+
+def test_waiting_pages_are_bounded(monkeypatch):
+    monkeypatch.setattr(stream_pairing, "MAX_WAITING", 3)
+    state = FakeState()
+    assert drive(state, [(p, "front" if p % 2 else "back") for p in (3, 4, 5)]) == []
+    assert drive(state, [(6, "back")]) == [(1, 3, 4, None), (2, 5, 6, None)]
+    assert drive(state, [(1, "front")]) == [(None, None, None, 1)]
+
+
+def test_late_pages_are_counted(spark):
+    rows = [("a", None, None, None, 3), ("a", None, None, None, 4), ("b", 1, 1, 2, None)]
+    got = stream_pairing.late_counts(spark.createDataFrame(rows, stream_pairing.OUT)).collect()
+    assert [tuple(r) for r in got] == [("a", 2)]
+
+
 def test_debounce_keeps_last_of_each_burst(spark, tmp_path):
     def save(key, ms, value):
         return {"key": key, "ts": f"2024-01-01T00:00:{ms / 1000:06.3f}Z", "value": value}
