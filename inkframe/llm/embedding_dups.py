@@ -115,10 +115,13 @@ def _reranked(least: float):
         for g in _groups(batches, ["comp", "i", "j"]):
             if g.num_rows < 2:
                 continue
-            unit = np.array(g.column("unit").to_pylist(), np.float64)
-            node, copies, mine = (g.column(c).to_numpy() for c in ("node", "copies", "mine"))
+            rows = g.column("unit").to_pylist()
+            unit = np.zeros((len(rows), max(map(len, rows))))
+            for k, u in enumerate(rows):
+                unit[k, : len(u)] = u
+            node, copies, mine, part = (g.column(c).to_numpy() for c in ("node", "copies", "mine", "part"))
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            linked = unit @ unit.T >= least
+            linked = (unit @ unit.T >= least) & (part[:, None] == part[None, :])
             np.fill_diagonal(linked, False)
             if i != j:
                 linked &= mine[:, None] != mine[None, :]
@@ -192,8 +195,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     cut = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     comps = connected(cut.mapInArrow(_candidates, "a long, b long")).select(F.col("node").alias("x"), F.col("root").alias("comp"))
     comps = stored(comps, "candidates")
-    sent = classes.join(comps, classes.node == comps.x).select("comp", "node", "copies", "unit")
-    sent = _blocks(sent, "comp", comps.groupBy("comp").agg(F.count("*").alias("n")), BLOCK).select("comp", "i", "j", "node", "copies", "mine", "unit")
+    sent = classes.join(comps, classes.node == comps.x).select("comp", "node", "copies", "part", "unit")
+    sent = _blocks(sent, "comp", comps.groupBy("comp").agg(F.count("*").alias("n")), BLOCK).select("comp", "i", "j", "node", "copies", "mine", "part", "unit")
     sent = sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = stored(sent.mapInArrow(_reranked(least), "node long, links long, to long"), "found")
     links = found.groupBy(F.col("node").alias("y")).agg(F.sum("links").alias("links"))

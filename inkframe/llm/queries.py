@@ -87,3 +87,16 @@ select p.page_id, octet_length(encode(p.html)) as payload_bytes, sha256(p.html)
   case when f.n > 1 and p.page_id is distinct from f.first_id then f.first_id end as refers_to
 from p left join f on p.html = f.html
 """
+
+ORACLES["op6_embedding_dups"] = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+    and list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98
+), r as (
+  select vec_id as root, vec_id as id from v union select r.root, l.b from r join l on l.a = r.id
+), c as (select id, min(root) as component_id from r group by id)
+select v.vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.id = v.vec_id
+"""

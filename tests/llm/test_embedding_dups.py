@@ -1,4 +1,5 @@
 import numpy as np
+import oracle
 import pytest
 
 from inkframe.llm import embedding_dups, queries
@@ -86,3 +87,14 @@ def test_awkward_vectors(spark):
 def test_query(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.BUILDS["op6_embedding_dups"](spark, SF_DIR).collect())) == expected(rows)
+
+
+def test_query_equals_sql(spark):
+    con = oracle.duck(SF_DIR)
+    assert oracle.compare(spark, con, "op6", queries.BUILDS["op6_embedding_dups"], queries.ORACLES["op6_embedding_dups"], SF_DIR) is None
+
+
+def test_labels_never_mix(spark):
+    rows = [(2 * k + c, v, c) for c in (0, 1) for k, v in enumerate(r[1] for r in planted()[:60])]
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dups.near_vectors(frame(spark, rows)).collect()}
+    assert all(k % 2 == c % 2 for k, c in got.items())
