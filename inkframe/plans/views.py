@@ -75,10 +75,11 @@ SQL["raster"] = (("ras_px",), f"""
 
 
 def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(page, y, px)`: one row per raster line, missing pixels are paper.
+    """`(page, y, px)`: one row per raster line, missing pixels and lines are paper.
 
     A line is one aggregation buffer, a slot per column, so pixels are reduced before the shuffle
-    and a line of a hot page costs no more than any other.
+    and a line of a hot page costs no more than any other. A page's few lines then meet, and those
+    that are absent are filled in there: the table is read once.
     """
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("page"),
@@ -88,12 +89,12 @@ def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     slots = [F.max(F.when(F.col("x") == i, F.col("v"))).alias(f"p{i}") for i in range(PAGE_W)]
     height = F.sequence(F.lit(0).cast("bigint"), F.lit(PAGE_H - 1).cast("bigint"))
-    blank = li.select("page").distinct().select("page", F.explode(height).alias("y"))
     px = F.array(*[F.coalesce(F.col(f"p{i}") % 256, F.lit(255)).cast("smallint") for i in range(PAGE_W)])
-    return (
-        li.unionByName(blank, allowMissingColumns=True).groupBy("page", "y").agg(*slots)
-        .select("page", "y", px.alias("px"))
-    )
+    there = li.groupBy("page", "y").agg(*slots).select("page", "y", px.alias("px"))
+    pages = there.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("y", "px"))).alias("m"))
+    blank = F.array_repeat(F.lit(255).cast("smallint"), PAGE_W)
+    filled = F.transform(height, lambda y: F.struct(y.alias("y"), F.coalesce(F.try_element_at("m", y), blank).alias("px")))
+    return pages.select("page", F.inline(filled))
 
 
 def pixels(lines: DataFrame) -> DataFrame:
