@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the smallest id; of rows that repeat it, one (null ids stay alone)."""
+    """One row of each SimHash group: that of the smallest id; rows of equal id but other text are judged apart."""
     return simhash.one_of_each(docs)
 
 

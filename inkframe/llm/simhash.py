@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, slices, stored
@@ -216,16 +216,29 @@ def simhash_groups(docs: DataFrame, size: int = 4, most: int = 4, seed: int = 42
 
 
 def one_of_each(docs: DataFrame, size: int = 4, most: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of `docs`, whole, of which each group keeps one: the smallest doc_id's, and of rows that repeat that id one.
+    """The rows of `docs`, whole, of which each group keeps exactly one: that of the smallest id, then of the least hash of text.
 
-    Rows without an id can't be named, so they aren't compared and stay. Columns of any name are carried along.
+    Rows are named by id and text, so rows of equal id but other text are judged apart. Rows without an id are compared like
+    any other and stay only where their group has no id. Of rows that repeat id and text, the least by all columns stays.
+    Columns of any name are carried along.
     """
-    groups = simhash_groups(docs.where(F.col("doc_id").isNotNull()), size, most, seed)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept")).agg((F.count("*") > 1).alias("several"))
-    kept = stored(kept, "kept")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"))
-    named = rows.where("id is not null").join(kept, F.col("id") == F.col("kept"))
-    named = named.withColumn("tie", F.when(F.col("several"), F.to_json("row")))
-    order = Window.partitionBy("id").orderBy("tie")
-    first = named.withColumn("at", F.row_number().over(order)).where("at = 1")
-    return first.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("h"))
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches):
+        for b in slices(batches):
+            fp = np.array([fingerprint(t or "", size, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(fp)], schema=schema)
+
+    fps = named.select("id", "h", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "id long, h long, fp long")
+    fps = stored(fps.groupBy("id", "h", "fp").agg((F.count("*") > 1).alias("several")), "fingerprints")
+    rep = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "several")).alias("rep")
+    classes = stored(fps.groupBy("fp").agg(rep), "classes")
+    roots = connected(near_links(classes, most))
+    joined = classes.join(roots, classes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "rep")
+    kept = joined.groupBy("root").agg(F.min("rep").alias("rep"))
+    kept = stored(kept.select(F.col("rep.id").alias("kept"), F.col("rep.h").alias("kept_h"), F.col("rep.several").alias("several")), "kept")
+    found = named.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("h") == F.col("kept_h")))
+    single, more = found.where("not several").select("row"), found.where("several")
+    more = more.groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(more).select("row.*")

@@ -100,6 +100,13 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(fixtures.empty(spark)).count() == 0
 
 
+def test_every_group_keeps_exactly_one_row(spark):
+    a, b, c = ("".join(f"{w} {w}x " for w in words) for words in ("abcdefgh", "ijklmnop", "qrstuvwx"))
+    rows = [(5, a, "1"), (5, b, "2"), (3, a, "3"), (9, b, "4"), (None, c, "5"), (None, c, "6"), (None, a, "7"), (9, b, "8")]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == [(0, c), (3, a), (5, b)]
+
+
 def test_connected(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 30), (30, 31), (31, 32), (32, 33), (40, 41), (41, 42), (42, 40), (7, None)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
