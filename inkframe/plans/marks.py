@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import components, evaluate, tally
 from . import views
 from .rasters import slide
-from .registry import query
+from .registry import ORACLES, query
 from .views import PAGE_H, PAGE_W, SQL, table, with_views
 
 
@@ -60,6 +60,16 @@ def q_verdict(spark, sf_dir):
     ink = views.scanlines(spark, sf_dir).withColumn(
         "px", F.transform("px", lambda v: F.when((v < 16) & (F.col("page") % 5 != 3), 1).otherwise(0).cast("smallint"))
     )
+    return _verdicts(ink)
+
+
+@query("q_verdict_all", ORACLES["q_verdict"].replace(" AND page % 5 <> 3", ""))
+def q_verdict_all(spark, sf_dir):
+    """The same of every given page, none made blank."""
+    return _verdicts(dark(spark, sf_dir, 16))
+
+
+def _verdicts(ink):
     boxes, strips = components.find_marks(ink, close=1), components.find_marks(components.inset_rows(ink, PAGE_H), close=1)
     none = F.lit(None).cast("bigint")
     return components.box_verdict(boxes, PAGE_W, PAGE_H).select(

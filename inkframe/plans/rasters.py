@@ -8,7 +8,7 @@ from ..functions.rounding import luma
 from ..functions.taxonomy import taxonomy
 from ..operators import calibration, islands, raster
 from . import views
-from .registry import query
+from .registry import ORACLES, query
 from .views import PAGE_H, PAGE_W, SQL, table, with_views
 
 
@@ -353,6 +353,12 @@ def q_moments(spark, sf_dir):
     return raster.moments(lines.withColumn("px", F.when(F.col("page") % 5 == 3, paper).otherwise(F.col("px"))))
 
 
+@query("q_moments_all", ORACLES["q_moments"].replace("WHERE page % 5 <> 3 ", "").replace("WHERE page % 5 = 3", "WHERE false"))
+def q_moments_all(spark, sf_dir):
+    """The same of every given page, none made blank."""
+    return raster.moments(views.scanlines(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ alignment
 @query("q_skew", with_views(f"""WITH s AS (SELECT page, x, y, 255 - v AS v FROM raster),
 r AS (SELECT page, k, y + CAST(floor((x - {PAGE_W / 2}e0) * tan(radians(-10e0 + k * 0.5e0)) + 0.5e0) AS BIGINT) AS r, sum(v) AS v

@@ -148,3 +148,11 @@ def test_verdicts_on_drawn_strips(spark):
     assert {r.page: r.marked or False for r in strips.collect()} == {0: True, 1: False, 2: False, 3: True, 4: False}
     boxes = components.box_verdict(components.find_marks(lines), 120, 58)
     assert {r.page: r.marked for r in boxes.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_whole_page_queries_leave_no_page_out(spark):
+    from inkframe.plans import BUILDS
+
+    for name, lost in (("q_verdict", "kind = 'box' and mass = 0"), ("q_moments", "mass = 0")):
+        some, every = (BUILDS[n](spark, "/root/testdata/sf0.01") for n in (name, name + "_all"))
+        assert some.count() == every.count() and every.where(lost).count() == 0
