@@ -244,6 +244,13 @@ def q_hough(spark, sf_dir):
     return tally.strongest_line(ink, half_band=1, max_ink=85)
 
 
+@query("q_hough_all", ORACLES["q_hough"].replace("<= 85", f"<= {tally.MAX_INK}").replace("> 85", f"> {tally.MAX_INK}"))
+def q_hough_all(spark, sf_dir):
+    """Every given page, with the operator's own bound on ink."""
+    ink = views.pixels(views.scanlines(spark, sf_dir)).filter("v < 40").select("page", "x", "y")
+    return tally.strongest_line(ink, half_band=1)
+
+
 RULES = f"""cal AS (SELECT page, y FROM raster GROUP BY page, y HAVING count(*) FILTER (v < 170) < {PAGE_W} * 0.3e0),
 col AS (SELECT page, x FROM (
     SELECT r.page, x, CASE WHEN y < {int(PAGE_H * 0.2 + 0.5)} THEN 0 ELSE 1 END AS part, count(*) FILTER (v < 170) AS n, count(*) AS rows_

@@ -153,6 +153,6 @@ def test_verdicts_on_drawn_strips(spark):
 def test_whole_page_queries_leave_no_page_out(spark):
     from inkframe.plans import BUILDS
 
-    for name, lost in (("q_verdict", "kind = 'box' and mass = 0"), ("q_moments", "mass = 0")):
+    for name, lost in (("q_verdict", "kind = 'box' and mass = 0"), ("q_moments", "mass = 0"), ("q_hough", "reason = 'too dense'")):
         some, every = (BUILDS[n](spark, "/root/testdata/sf0.01") for n in (name, name + "_all"))
         assert some.count() == every.count() and every.where(lost).count() == 0
