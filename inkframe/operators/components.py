@@ -355,37 +355,74 @@ SWEEP = {
 }
 
 
+def _first_where(test, low: int, high: int) -> Column:
+    """The first number from `low` below `high` for which `test` holds, else `high`; it holds for all after one for which it does."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(test(middle), _first_where(test, low, middle)).otherwise(_first_where(test, middle + 1, high))
+
+
 def sweep_shape(boxes: DataFrame, truth: DataFrame, crop_height: int = 58,
                 values: dict[str, Sequence[float]] = SWEEP) -> DataFrame:
     """Move one shape constant at a time and count crops cut right, not at all, and over.
 
-    A crop's boxes are gathered once and the settings are tried on that row; only their
-    counts are shuffled.
+    A crop's boxes are gathered once. For each constant a box has one setting at which its verdict flips, found by halving; a
+    crop's outcome is worked out once between two neighbouring flips of its boxes, and told as a difference at the first setting
+    of that stretch. Differences are summed map-side and added up along the settings, so the work follows the boxes, and
+    more settings cost next to nothing.
     """
-    table = F.array(*[
-        F.struct(
-            F.lit(p).alias("param"), F.lit(float(v)).alias("setting"),
-            *[F.lit(float({**SHIPPING, p: v}[name])).alias(f"_{name}") for name in SHIPPING],
-        )
-        for p, vs in values.items() for v in vs
-    ])
-
     def w(b: Column) -> Column:
         return b["max_x"] - b["min_x"] + 1
 
     def h(b: Column) -> Column:
         return b["max_y"] - b["min_y"] + 1
 
-    shaped = F.filter("boxes", lambda b: ~(
-        (h(b) < F.col("_short") * crop_height) | (w(b) / h(b) > F.col("_bar"))
-        | (b["count"] < w(b) * h(b) * F.col("_hollow"))
-    ))
-    x = _per_crop(boxes).join(truth, "crop").select("boxes", "digits", F.inline(table)).withColumn("_s", shaped)
-    x = x.withColumn("_least", F.array_max(F.transform("_s", h)) * F.lit(SPECK))
-    n, length = F.col("n"), F.col("digits")
-    counted = x.withColumn("n", _merged_count(F.filter("_s", lambda b: h(b) >= F.col("_least"))))
-    return counted.groupBy("param", "setting").agg(
-        F.count_if(n == length).alias("cut_right"),
-        F.count_if((n == 0) & (length != 0)).alias("cut_none"),
-        F.count_if(n > length).alias("cut_over"),
-    )
+    drops = {
+        "hollow": lambda b, v: b["count"] < w(b) * h(b) * F.lit(float(v)),
+        "short": lambda b, v: h(b) < F.lit(float(v)) * crop_height,
+        "bar": lambda b, v: w(b) / h(b) > F.lit(float(v)),
+    }
+    grid = {p: sorted(set(map(float, vs))) for p, vs in values.items() if len(vs)}
+    length = F.col("digits")
+
+    def stretches(p: str) -> Column:
+        """(param, at, n) wherever the number of digits cut from a crop may change; the first is at 0."""
+        settings, held = grid[p], [q for q in SHIPPING if q != p]
+
+        def flip(b: Column) -> Column:
+            falls = p == "bar"  # a box that is too much of a bar stays from some setting on, others stay up to one
+            return _first_where(lambda k: ~drops[p](b, settings[k]) if falls else drops[p](b, settings[k]), 0, len(settings))
+
+        fit = F.filter("boxes", lambda b: ~(drops[held[0]](b, SHIPPING[held[0]]) | drops[held[1]](b, SHIPPING[held[1]])))
+        flips = F.transform(fit, lambda b: F.struct(b.alias("b"), flip(b).alias("at")))
+
+        def cut(at: Column) -> Column:
+            stay = F.transform(F.filter(flips, lambda f: f["at"] <= at if p == "bar" else f["at"] > at), lambda f: f["b"])
+            least = F.array_max(F.transform(stay, h)) * F.lit(SPECK)
+            return _merged_count(F.filter(stay, lambda b: h(b) >= least))
+
+        inner = F.filter(F.transform(flips, lambda f: f["at"]), lambda k: (k > 0) & (k < len(settings)))
+        starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), inner)))
+        return F.transform(starts, lambda at: F.struct(F.lit(p).alias("param"), at.alias("at"), cut(at).alias("n")))
+
+    found = _per_crop(boxes).join(truth, "crop").select("crop", "digits", F.flatten(F.array(*map(stretches, grid))).alias("s"))
+
+    def outcome(number: Column) -> Column:
+        one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+        return F.struct(one(number == length).alias("r"), one((number == 0) & (length != 0)).alias("z"), one(number > length).alias("o"))
+
+    def change(s: Column, i: Column) -> Column:
+        before = F.get("s", i - 1)
+        same = (i > 0) & (before["param"] == s["param"])
+        now, last = outcome(s["n"]), outcome(before["n"])
+        return F.struct(s["param"].alias("param"), s["at"].alias("at"), *[(now[c] - F.when(same, last[c]).otherwise(0)).alias(c) for c in "rzo"])
+
+    changes = found.select(F.inline(F.transform("s", change))).groupBy("param", "at").agg(*[F.sum(c).alias(c) for c in "rzo"])
+    table = [(p, k, v) for p, vs in grid.items() for k, v in enumerate(vs)]
+    settings = boxes.sparkSession.createDataFrame(table, "param string, at int, setting double")
+    along = Window.partitionBy("param").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = settings.join(changes, ["param", "at"], "left").select("param", "setting", "at", *[
+        F.coalesce(F.sum(c).over(along), F.lit(0)).alias(name) for c, name in (("r", "cut_right"), ("z", "cut_none"), ("o", "cut_over"))
+    ], F.max("r").over(along).isNotNull().alias("_any"))
+    return summed.filter("_any").select("param", "setting", "cut_right", "cut_none", "cut_over")

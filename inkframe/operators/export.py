@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..functions.taxonomy import (
     taxonomy,
 )
 from ..functions.text import chapter_date, column_index, column_name
+from ..sources import snapshots
+from . import quality
 
 
 def header_edits(events: DataFrame) -> DataFrame:
@@ -53,6 +58,25 @@ def cell_edits(events: DataFrame, values: DataFrame) -> DataFrame:
     return header_edits(events).unionByName(count_edits(values))
 
 
+def publish_edits(events: DataFrame, values: DataFrame, path: str) -> int:
+    """Write every edit of the events' datasheets as a new version at `path`; its number.
+
+    The rules on values are counted while the edits are written, in the same pass. If one is broken nothing is published, and
+    `snapshots.BrokenRule` tells which and how often.
+    """
+    rows, rules = quality.tagged_values(values)
+    broken = {name: F.coalesce(bad, F.lit(False)) for name, bad in rules.items()}
+    counts = rows.select(
+        "event", cell_ref(F.col("card"), F.col("item_row")).alias("ref"), F.lit("number").alias("kind"),
+        F.col("value").cast("string").alias("value"), (F.col("value") > 0).alias("_written"), *[bad.alias(f"_{name}") for name, bad in broken.items()],
+    )
+    heads = header_edits(events).select("*", F.lit(True).alias("_written"), *[F.lit(False).alias(f"_{name}") for name in broken])
+    flags = {name: F.col(f"`_{name}`") for name in broken}
+    # Zero and blank are the same and are not written; what breaks a rule is kept up to the count.
+    edits = heads.unionByName(counts).filter(F.coalesce(F.col("_written"), F.lit(False)) | reduce(operator.or_, flags.values()))
+    return snapshots.write(edits, path, "event", rules=flags, columns=["event", "ref", "kind", "value"])
+
+
 def read_back(edits: DataFrame) -> DataFrame:
     """Edits back to `(event, card, item_row, value)`, from nothing but the references."""
     col = F.regexp_extract("ref", r"^([A-Z]+)\d+$", 1)

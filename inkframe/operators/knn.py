@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SHIFTS, moved, prepared, unit
+from ..session import cut_lineage
+from ..sources import snapshots
 from .ordered import first_n
 
 POOL, K = 25, 5
@@ -28,6 +30,9 @@ def chosen_exemplars(samples: DataFrame, limit: int = EXEMPLARS) -> DataFrame:
     return turns.orderBy("_turn", "label").limit(limit).drop("_turn")
 
 
+NEAR = ["query", "rank", "ex", "label", "d", "d_shift"]
+
+
 def neighbours(
     samples: DataFrame, exemplars: DataFrame | None = None, *, pool: int = POOL, side: int = 8, limit: int = EXEMPLARS
 ) -> DataFrame:
@@ -46,7 +51,7 @@ def neighbours(
     known = known.sort_values("sample_id", ignore_index=True)
     matrix = np.stack(known["v"].to_numpy()) if len(known) else np.zeros((0, side * side))
     sent = spark.sparkContext.broadcast((matrix, known["sample_id"].to_numpy(), known["label"].to_numpy(), known["source"].to_numpy()))
-    columns = ["query", "rank", "ex", "label", "d", "d_shift"]
+    columns = NEAR
 
     def compare(batches):
         b, ex, label, source = sent.value
@@ -74,6 +79,40 @@ def neighbours(
     return ready.mapInPandas(compare, "query bigint, rank int, ex bigint, label int, d double, d_shift double")
 
 
+def _stamp(*columns: str) -> Column:
+    """A text that changes when any row of a group does, whatever their order."""
+    sums = [F.sum(F.xxhash64(*columns, F.lit(k)).cast("decimal(38,0)")).cast("string") for k in (0, 1)]
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums)
+
+
+def cached_neighbours(
+    samples: DataFrame, path: str, exemplars: DataFrame | None = None, *, pool: int = POOL, side: int = 8, limit: int = EXEMPLARS
+) -> DataFrame:
+    """`neighbours` of all samples from the table at `path`, in which only what changed is computed anew.
+
+    Rows are kept by event with a stamp of the event's samples, of the exemplars and of the options. An event whose stamp
+    is the stored one is read; others are compared with the exemplars and stored. Exemplars chosen from the samples change with
+    them, and then every event does; with given ones a changed event is computed alone.
+    """
+    spark = samples.sparkSession
+    model = chosen_exemplars(samples, limit) if exemplars is None else exemplars
+    model = cut_lineage(model.select("sample_id", "source", "label", "v"))
+    of_model = f"{model.agg(_stamp('sample_id', 'source', 'label', 'v')).first()[0]}|{pool}|{side}"
+    key = F.col("source").cast("string")
+    stamps = samples.groupBy(key.alias("key")).agg(F.concat_ws("|", _stamp("sample_id", "label", "v"), F.lit(of_model)).alias("stamp"))
+    stamps = cut_lineage(stamps)
+    known = snapshots.manifest(spark, path).filter((F.col("version") == (snapshots.latest_version(spark, path) or 0)) & F.col("folder").isNotNull())
+    known = known.select(F.col("key").alias("_key"), F.col("stamp").alias("_stamp"))
+    changed = cut_lineage(stamps.join(known, F.col("key").eqNullSafe(F.col("_key")) & (F.col("stamp") == F.col("_stamp")), "left_anti"))
+    if not changed.isEmpty() or not snapshots.latest_version(spark, path):
+        asked = samples.join(changed.select("key"), key.eqNullSafe(F.col("key")), "left_semi")
+        near = neighbours(asked, model, pool=pool, side=side, limit=limit)
+        event = asked.select(F.col("sample_id").alias("query"), key.alias("source"))
+        snapshots.write(near.join(event, "query").select(*NEAR, "source"), path, "source", stamps=changed)
+    now = stamps.select(F.col("key").alias("_now"))
+    return snapshots.read(spark, path).join(now, F.col("source").eqNullSafe(F.col("_now")), "left_semi").select(*NEAR)
+
+
 def classify_against(queries: DataFrame, exemplars: DataFrame, *, k: int = K, pool: int = POOL, side: int = 8) -> DataFrame:
     """New bitmaps `(sample_id, v)` read with a model's exemplars `(label, v)`: `(query, predicted, conf)`, one row each.
 

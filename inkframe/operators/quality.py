@@ -76,6 +76,25 @@ def event_violations(events: DataFrame, values: DataFrame) -> DataFrame:
     return of_events.unionByName(of_values)
 
 
+def tagged_values(values: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Values with what the rules need beside them, and the rules: conditions that no value to be written may meet.
+
+    Same rules as `event_violations`, as conditions on rows, so that they can be counted by the pass that writes.
+    """
+    items = F.broadcast(taxonomy(values.sparkSession).select(F.col("item_row").alias("_item"), F.lit(True).alias("_known")))
+    same = Window.partitionBy("event", "card", "item_row")
+    rows = values.withColumn("_n", F.count(F.lit(1)).over(same)).join(items, F.col("item_row") == F.col("_item"), "left")
+    rules = {
+        "not an item row": F.col("_known").isNull(),
+        "formula column": F.col("card") == 0,
+        "card number": ~F.coalesce(F.col("card").between(1, MAX_VOLUNTEERS), F.lit(False)),
+        "negative value": F.col("value") < 0,
+        "fraction": F.col("value") != F.floor("value"),
+        "row twice": F.col("_n") > 1,
+    }
+    return rows, rules
+
+
 def refuse_if_any(violations: DataFrame) -> DataFrame:
     """Pass an empty violation table through; fail the job on the first row of any other."""
     message = F.concat(F.lit("rule broken: "), F.col("rule"))

@@ -16,6 +16,7 @@ BASELINE_TOLERANCE, GROUP_GAP_RATIO, BAR_REACH = 0.85, 1.85, 4
 MIN_DENSITY, BAR_DENSITY, MAX_INK = 0.62, 0.4, 6000
 RULE_COVERAGE, RULE_MARGIN, RULE_CROWD, RULE_EVIDENCE, RULE_WIDTH, RULE_FRINGE = 0.55, 0.2, 0.3, 0.5, 6, 2
 EDGE_INK = 6
+ROW_ESCAPE, ESCAPE_SLACK, ESCAPE_GAP = 0.35, 1, 1
 ANGLE_STEP, MAX_GAP, MIN_LENGTH, MIN_MEMBERS = 4, 8, 11, 4
 
 FIELDS = ("mid_x", "k", "length", "ink", "angle", "max_y", "min_x", "max_x")
@@ -39,9 +40,11 @@ def strip_strokes(segments: DataFrame) -> DataFrame:
     A strip is taken apart into at most some hundred segments, so they fit one row, and all
     that follows needs no further shuffle.
     """
+    overrun = F.col("overrun") if "overrun" in segments.columns else F.lit(0).cast("bigint")
+
     def gather(kind: str, density: float) -> Column:
         solid = (F.col("kind") == kind) & (F.col("ink") >= F.col("length") * F.lit(density))
-        return F.array_sort(F.collect_list(F.when(solid, F.struct(*FIELDS))))
+        return F.array_sort(F.collect_list(F.when(solid, F.struct(*FIELDS, overrun.alias("overrun")))))
 
     x = segments.groupBy("strip").agg(
         gather("stroke", MIN_DENSITY).alias("upright"), gather("bar", BAR_DENSITY).alias("others")
@@ -92,8 +95,13 @@ def crossbars(segments: DataFrame) -> DataFrame:
     )
 
 
-def count_tallies(segments: DataFrame, strips: DataFrame) -> DataFrame:
-    """Counts, or the first reason to decline: `strips` has `raw_ink`, `clipped` and thinned `ink`."""
+def count_tallies(segments: DataFrame, strips: DataFrame, strip_height: int = 0) -> DataFrame:
+    """Counts, or the first reason to decline: `strips` has `raw_ink`, `clipped` and thinned `ink`.
+
+    Segments may have an `overrun` (see `row_overrun`): where a stroke's is `escape_bar(strip_height)` lines or more, it comes
+    from the row above, and what the strip shows is not its own tally.
+    """
+    escape = escape_bar(strip_height)
     x = strips.join(_groups(strip_strokes(segments)), "strip", "left")
     good = F.filter(F.arrays_zip("others", "crossed"), lambda z: F.size(z["crossed"]) == 1)
     x = x.withColumn("good", good)
@@ -113,6 +121,7 @@ def count_tallies(segments: DataFrame, strips: DataFrame) -> DataFrame:
         F.when(F.col("raw_ink") == 0, "no ink").when(F.col("raw_ink") > MAX_INK, "too dense")
         .when(F.col("clipped"), "runs off the strip").when(F.col("ink") == 0, "no ink")
         .when(n_strokes < 1, "no strokes")
+        .when(F.exists("strokes", lambda s: s["overrun"] >= escape) if escape > 0 else F.lit(False), "ink continues past the row")
         .when(_most(tilt) - _least(tilt) > MAX_ANGLE_SPREAD, "strokes not parallel")
         .when(_most(feet) - _least(feet) > F.col("typical") * F.lit(BASELINE_TOLERANCE), "no common baseline")
         .when(explained < MIN_EXPLAINED, "unexplained ink").when(ragged, "ragged groups").otherwise("")
@@ -132,6 +141,48 @@ def count_tallies(segments: DataFrame, strips: DataFrame) -> DataFrame:
     )
 
 
+def escape_bar(strip_height: int) -> int:
+    """Lines of ink above the row from which on a stroke is another row's."""
+    return int(strip_height * ROW_ESCAPE + 0.5)
+
+
+def row_overrun(
+    strokes: DataFrame, context: DataFrame, strip_top: int, *, slack: int = ESCAPE_SLACK, gap: int = ESCAPE_GAP
+) -> DataFrame:
+    """Strokes with `overrun`: the lines above `strip_top` that each one's ink carries on through without a break.
+
+    `strokes` (strip, k, angle, min_y, max_y, mid_x) are in the frame of `context`, the 0/1 lines (strip, y, px) of the strip and
+    of what lies around it, one a line without gaps. Ink is followed line by line upwards from the stroke's own end, to the
+    nearest set pixel within `slack` columns of the last one; after more than `gap` lines without any the stroke has ended.
+    Only lines passed above the strip's edge count, so a mark that stands by itself over the row is never reached. A stroke that
+    lies flat, or without a context, has 0. A strip's lines are bounded by paper and meet its strokes in one row.
+    """
+    lines = context.groupBy("strip").agg(F.array_sort(F.collect_list(F.struct("y", "px"))).alias("_l"))
+    lines = lines.select(F.col("strip").alias("_strip"), F.get("_l", F.lit(0))["y"].alias("_first"), F.col("_l.px").alias("_px"))
+    sin, cos = F.round(F.sin(F.radians("angle")), 12), F.round(F.cos(F.radians("angle")), 12)
+    start = F.floor(F.col("mid_x") + (F.col("min_y") - (F.col("min_y") + F.col("max_y")) / 2) * cos / sin + F.lit(0.5))
+    first = F.struct(start.cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("missed"))
+
+    def up(s: Column, y: Column) -> Column:
+        line = F.get("_px", (y - F.col("_first")).cast("int"))
+
+        def at(x: Column) -> Column:
+            return F.when((x >= 0) & (F.get(line, x.cast("int")) != 0), x)
+
+        near = [s["x"], *(s["x"] + d * side for d in range(1, slack + 1) for side in (-1, 1))]
+        found = F.when(s["missed"] <= gap, F.coalesce(*map(at, near)))
+        hit = found.isNotNull()
+        return F.struct(
+            F.coalesce(found, s["x"]).alias("x"), (s["run"] + F.when(hit & (y < strip_top), 1).otherwise(0)).alias("run"),
+            F.when(hit, 0).otherwise(s["missed"] + 1).alias("missed"),
+        )
+
+    above = F.sequence(F.col("min_y") - 1, F.col("_first"), F.lit(-1).cast("bigint"))
+    traced = F.when((F.abs(sin) >= 1e-3) & (F.col("min_y") > F.col("_first")), F.aggregate(above, first, up)["run"])
+    joined = strokes.join(lines, F.col("strip") == F.col("_strip"), "left")
+    return joined.select(*strokes.columns, F.coalesce(traced, F.lit(0).cast("bigint")).alias("overrun"))
+
+
 def decline_reasons(tallies: DataFrame) -> DataFrame:
     """How often each reason to decline came up."""
     return tallies.filter(F.col("count").isNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

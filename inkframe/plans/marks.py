@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import components, evaluate, tally
 from . import views
 from .rasters import slide
-from .registry import ORACLES, query
+from .registry import query
 from .views import PAGE_H, PAGE_W, SQL, table, with_views
 
 
@@ -37,36 +37,30 @@ def q_components(spark, sf_dir):
 
 DY = int(PAGE_H * components.STRIP_INSET + 0.5)
 SQL["ink24"] = (("raster",), f"""
-  SELECT page * 2 AS page, x, y, CASE WHEN v < 16 AND page % 5 <> 3 THEN 1 ELSE 0 END AS v FROM raster
-  UNION ALL SELECT page * 2 + 1, x, y - {DY}, CASE WHEN v < 16 AND page % 5 <> 3 THEN 1 ELSE 0 END FROM raster WHERE y >= {DY} AND y < {PAGE_H - DY}""")
+  SELECT page * 2 AS page, x, y, CASE WHEN v < 16 THEN 1 ELSE 0 END AS v FROM raster
+  UNION ALL SELECT page * 2 + 1, x, y - {DY}, CASE WHEN v < 16 THEN 1 ELSE 0 END FROM raster WHERE y >= {DY} AND y < {PAGE_H - DY}""")
 SQL["ink24_grown"] = (("ink24",), f"SELECT page, x, y FROM {slide('ink24', 1)} WHERE v = 1")
 
 
 @query("q_verdict", with_views(f"""WITH RECURSIVE {_reach("ink24_grown")},
 m0 AS (SELECT p.page, label, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM px p JOIN lab USING (page, id)
        GROUP BY p.page, label HAVING count(*) >= 4),
-m AS (SELECT m0.*, (SELECT count(*) FROM ink24 i WHERE i.page = m0.page AND i.v = 1 AND i.x BETWEEN min_x AND max_x AND i.y BETWEEN min_y AND max_y) AS ink FROM m0)
+m AS (SELECT m0.*, (SELECT count(*) FROM ink24 i WHERE i.page = m0.page AND i.v = 1 AND i.x BETWEEN min_x AND max_x AND i.y BETWEEN min_y AND max_y) AS ink FROM m0),
+c AS (SELECT DISTINCT page FROM raster UNION SELECT DISTINCT -1 - page FROM raster WHERE page % 5 = 3)
 SELECT 'box' AS kind, c.page, count(label) AS marks, coalesce(CAST(sum(ink) AS BIGINT), 0) AS mass, CAST(NULL AS BIGINT) AS strokes,
        coalesce(max(max_y - min_y + 1) >= least(20, greatest(6, floor({PAGE_H} * 0.25e0 + 0.5e0))) OR sum(ink) >= least(90, {PAGE_W * PAGE_H} * 0.01e0), false) AS marked
-FROM (SELECT DISTINCT page FROM raster) c LEFT JOIN m ON m.page = c.page * 2 GROUP BY c.page
+FROM c LEFT JOIN m ON m.page = c.page * 2 GROUP BY c.page
 UNION ALL
 SELECT 'strip', c.page, count(label), NULL, count(*) FILTER (tall),
        (count(*) FILTER (tall) >= 2 AND coalesce(max(max_x) FILTER (tall) - min(min_x) FILTER (tall) >= 25, false)) OR coalesce(max(ink) >= 250, false)
-FROM (SELECT DISTINCT page FROM raster) c
+FROM c
 LEFT JOIN (SELECT *, max_y - min_y + 1 >= least(20, greatest(6, floor({PAGE_H - 2 * DY} * 0.25e0 + 0.5e0))) AS tall FROM m WHERE page % 2 = 1) s
   ON s.page = c.page * 2 + 1 GROUP BY c.page""", "ink24_grown"))
 def q_verdict(spark, sf_dir):
-    """Whole pages as boxes, trimmed pages as strips, each labelled once; every fifth page is blank."""
-    ink = views.scanlines(spark, sf_dir).withColumn(
-        "px", F.transform("px", lambda v: F.when((v < 16) & (F.col("page") % 5 != 3), 1).otherwise(0).cast("smallint"))
-    )
-    return _verdicts(ink)
-
-
-@query("q_verdict_all", ORACLES["q_verdict"].replace(" AND page % 5 <> 3", ""))
-def q_verdict_all(spark, sf_dir):
-    """The same of every given page, none made blank."""
-    return _verdicts(dark(spark, sf_dir, 16))
+    """Whole pages as boxes, trimmed pages as strips, each labelled once; besides, a blank page for every fifth, under a negative number."""
+    ink = dark(spark, sf_dir, 16)
+    paper = F.transform("px", lambda v: F.lit(0).cast("smallint"))
+    return _verdicts(ink.unionByName(ink.filter("page % 5 = 3").withColumn("page", -1 - F.col("page")).withColumn("px", paper)))
 
 
 def _verdicts(ink):
@@ -236,21 +230,54 @@ l AS (SELECT page, angle, band, round(max(u) - min(u), 6) AS length FROM r WHERE
 b AS (SELECT page, CAST(angle AS BIGINT) AS angle, band, length FROM l WHERE length >= 11
   QUALIFY row_number() OVER (PARTITION BY page ORDER BY length DESC, angle, band) = 1),
 n AS (SELECT page, count(*) AS n FROM raster WHERE v < 40 GROUP BY page)
-SELECT n.page, CASE WHEN n <= 85 THEN angle END AS angle, CASE WHEN n <= 85 THEN band END AS band, CASE WHEN n <= 85 THEN length END AS length,
-  CASE WHEN n > 85 THEN 'too dense' WHEN angle IS NULL THEN 'no line' ELSE '' END AS reason FROM n LEFT JOIN b USING (page)""", "raster"))
+SELECT n.page, CASE WHEN n <= """ + str(tally.MAX_INK) + """ THEN angle END AS angle, CASE WHEN n <= """ + str(tally.MAX_INK) + """ THEN band END AS band,
+  CASE WHEN n <= """ + str(tally.MAX_INK) + """ THEN length END AS length,
+  CASE WHEN n > """ + str(tally.MAX_INK) + """ THEN 'too dense' WHEN angle IS NULL THEN 'no line' ELSE '' END AS reason FROM n LEFT JOIN b USING (page)""", "raster"))
 def q_hough(spark, sf_dir):
-    """Pages of this size have 70 to 100 pixels of ink; those with more than 85 are too dense here."""
-    ink = views.pixels(views.scanlines(spark, sf_dir)).filter("v < 40").select("page", "x", "y")
-    return tally.strongest_line(ink, half_band=1, max_ink=85)
-
-
-@query("q_hough_all", ORACLES["q_hough"].replace("<= 85", f"<= {tally.MAX_INK}").replace("> 85", f"> {tally.MAX_INK}"))
-def q_hough_all(spark, sf_dir):
     """Every given page, with the operator's own bound on ink."""
     ink = views.pixels(views.scanlines(spark, sf_dir)).filter("v < 40").select("page", "x", "y")
     return tally.strongest_line(ink, half_band=1)
 
 
+# Strokes on a page's lower part, whose row begins at line 28 and is 18 lines high.
+ROW_TOP, ROW_HEIGHT, ROW_DARK = 28, 18, 150
+SQL["page_strokes"] = (("raster",), f"""
+  SELECT strip, k, angle, min_y, min_y + 10 AS max_y, mid_x FROM (
+    SELECT page AS strip, CAST(k AS BIGINT) AS k, (page * 3 + k) % 19 * 10 AS angle, {ROW_TOP} + (page + k) % 4 AS min_y, (page * 7 + k * 9) % {PAGE_W} AS mid_x
+    FROM (SELECT DISTINCT page FROM raster), range(1, 4) r(k))""")
+
+
+def _trace() -> str:
+    """Ink followed upwards line by line, in recursive SQL."""
+    return f"""ink AS MATERIALIZED (SELECT page, x, y FROM raster WHERE v < {ROW_DARK}),
+trace AS (SELECT strip, k, min_y AS y, CAST(floor(mid_x + (min_y - (min_y + max_y) / 2) * round(cos(radians(angle)), 12) / round(sin(radians(angle)), 12) + 0.5e0) AS BIGINT) AS x,
+    CAST(0 AS BIGINT) AS run, CAST(0 AS BIGINT) AS missed FROM page_strokes WHERE abs(sin(radians(angle))) >= 1e-3
+  UNION ALL
+  SELECT t.strip, t.k, t.y - 1, coalesce(a.x, b.x, c.x, t.x), t.run + CASE WHEN coalesce(a.x, b.x, c.x) IS NOT NULL AND t.y - 1 < {ROW_TOP} THEN 1 ELSE 0 END,
+    CASE WHEN coalesce(a.x, b.x, c.x) IS NOT NULL THEN 0 ELSE t.missed + 1 END
+  FROM trace t LEFT JOIN ink a ON a.page = t.strip AND a.y = t.y - 1 AND a.x = t.x
+    LEFT JOIN ink b ON b.page = t.strip AND b.y = t.y - 1 AND b.x = t.x - 1 LEFT JOIN ink c ON c.page = t.strip AND c.y = t.y - 1 AND c.x = t.x + 1
+  WHERE t.y > 0 AND t.missed <= {tally.ESCAPE_GAP})"""
+
+
+def page_strokes(spark, sf_dir):
+    pages = views.scanlines(spark, sf_dir).select(F.col("page").alias("strip")).distinct()
+    rows = pages.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))))
+    s, k = F.col("strip"), F.col("k")
+    top = (s + k) % 4 + ROW_TOP
+    return rows.select("strip", "k", ((s * 3 + k) % 19 * 10).alias("angle"), top.alias("min_y"), (top + 10).alias("max_y"), ((s * 7 + k * 9) % PAGE_W).alias("mid_x"))
+
+
+@query("q_overrun", with_views(f"""WITH RECURSIVE {_trace()}
+SELECT s.strip, s.k, coalesce(max(run), 0) AS overrun, coalesce(max(run), 0) >= {tally.escape_bar(ROW_HEIGHT)} AS escapes
+FROM page_strokes s LEFT JOIN trace t ON t.strip = s.strip AND t.k = s.k GROUP BY s.strip, s.k""", "page_strokes"))
+def q_overrun(spark, sf_dir):
+    """How far each stroke's ink carries on above its row, and whether that makes it another row's."""
+    context = dark(spark, sf_dir, ROW_DARK).withColumnRenamed("page", "strip")
+    traced = tally.row_overrun(page_strokes(spark, sf_dir), context, ROW_TOP)
+    return traced.select("strip", "k", "overrun", (F.col("overrun") >= tally.escape_bar(ROW_HEIGHT)).alias("escapes"))
+
+
 RULES = f"""cal AS (SELECT page, y FROM raster GROUP BY page, y HAVING count(*) FILTER (v < 170) < {PAGE_W} * 0.3e0),
 col AS (SELECT page, x FROM (
     SELECT r.page, x, CASE WHEN y < {int(PAGE_H * 0.2 + 0.5)} THEN 0 ELSE 1 END AS part, count(*) FILTER (v < 170) AS n, count(*) AS rows_

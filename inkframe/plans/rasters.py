@@ -344,19 +344,13 @@ def q_rotate(spark, sf_dir):
 SELECT page, mass, round(sx / mass, 6) AS cx, round(sy / mass, 6) AS cy,
        round(CASE WHEN syy - sy * sy / mass > 1e-6 THEN (sxy - sx * sy / mass) / (syy - sy * sy / mass) ELSE 0 END, 6) AS skew
 FROM (SELECT page, CAST(sum(255 - v) AS BIGINT) AS mass, CAST(sum((255 - v) * x) AS BIGINT) AS sx, CAST(sum((255 - v) * y) AS BIGINT) AS sy,
-             CAST(sum((255 - v) * x * y) AS BIGINT) AS sxy, CAST(sum((255 - v) * y * y) AS BIGINT) AS syy FROM raster WHERE page % 5 <> 3 GROUP BY page)
-UNION ALL SELECT DISTINCT page, 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0e0 FROM raster WHERE page % 5 = 3""", "raster"))
+             CAST(sum((255 - v) * x * y) AS BIGINT) AS sxy, CAST(sum((255 - v) * y * y) AS BIGINT) AS syy FROM raster GROUP BY page)
+UNION ALL SELECT DISTINCT -1 - page, 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0e0 FROM raster WHERE page % 5 = 3""", "raster"))
 def q_moments(spark, sf_dir):
-    """Every fifth page is blank."""
+    """Every given page; besides, a blank page for every fifth, under a negative number."""
     lines = views.scanlines(spark, sf_dir)
     paper = F.transform("px", lambda v: F.lit(255).cast("smallint"))
-    return raster.moments(lines.withColumn("px", F.when(F.col("page") % 5 == 3, paper).otherwise(F.col("px"))))
-
-
-@query("q_moments_all", ORACLES["q_moments"].replace("WHERE page % 5 <> 3 ", "").replace("WHERE page % 5 = 3", "WHERE false"))
-def q_moments_all(spark, sf_dir):
-    """The same of every given page, none made blank."""
-    return raster.moments(views.scanlines(spark, sf_dir))
+    return raster.moments(lines.unionByName(lines.filter("page % 5 = 3").withColumn("page", -1 - F.col("page")).withColumn("px", paper)))
 
 
 # ------------------------------------------------------------------ alignment

@@ -69,35 +69,46 @@ def read_pages(spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFIXE
 def stream_pages(
     spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFIXES, files_per_trigger: int = 64
 ) -> DataFrame:
-    """The same as a stream; at most `files_per_trigger` pages are held at a time."""
+    """The same as a stream, with the file's time as `ts`; at most `files_per_trigger` pages are held at a time.
+
+    A page's number is its place among all files of its event, so it comes later: see `streaming.pairing.number_stream`.
+    """
     images = (
         spark.readStream.format("image").schema(IMAGE_SCHEMA).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _glob(suffixes)).option("maxFilesPerTrigger", files_per_trigger).load(path)
     )
-    return _named(images, suffixes)
+    return _named(images.select("image", F.col("_metadata.file_modification_time").alias("ts")), suffixes, "ts")
 
 
-def _named(images: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+def _named(images: DataFrame, suffixes: Sequence[str], *more: str) -> DataFrame:
     origin = F.col("image.origin")
-    return images.select(_event(origin).alias("event"), _file(origin).alias("file"), "image").filter(
+    return images.select(_event(origin).alias("event"), _file(origin).alias("file"), "image", *more).filter(
         _is_page(F.col("file"), suffixes)
     )
 
 
-def _grey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("event", pa.string()), ("file", pa.string()), ("y", pa.int64()), ("px", pa.list_(pa.int16()))])
-    for batch in batches:
-        for row in range(batch.num_rows):
-            event, file, h, w, n, data = (batch.column(c)[row].as_py() for c in range(6))
-            raw = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int64)
-            # Channels come blue first; one channel is already grey.
-            grey = raw[:, :, 0] if n == 1 else (raw[:, :, 2] * 299 + raw[:, :, 1] * 587 + raw[:, :, 0] * 114) // 1000
-            px = pa.ListArray.from_arrays(
-                pa.array(np.arange(h + 1, dtype=np.int32) * w), pa.array(grey.astype(np.int16).ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([event] * h), pa.array([file] * h), pa.array(np.arange(h, dtype=np.int64)), px], schema=kind
-            )
+def _grey(keep: Sequence[str] = ()):
+    """Lines of page images; columns named in `keep` are on every line of their page."""
+    kind = [pa.field("event", pa.string()), pa.field("file", pa.string()), pa.field("y", pa.int64()), pa.field("px", pa.list_(pa.int16()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*kind, *(batch.schema.field(c) for c in keep)])
+            for row in range(batch.num_rows):
+                event, file, h, w, n, data = (batch.column(c)[row].as_py() for c in range(6))
+                raw = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int64)
+                # Channels come blue first; one channel is already grey.
+                grey = raw[:, :, 0] if n == 1 else (raw[:, :, 2] * 299 + raw[:, :, 1] * 587 + raw[:, :, 0] * 114) // 1000
+                px = pa.ListArray.from_arrays(
+                    pa.array(np.arange(h + 1, dtype=np.int32) * w), pa.array(grey.astype(np.int16).ravel())
+                )
+                same = pa.array(np.full(h, row))
+                more = [batch.column(c).take(same) for c in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([event] * h), pa.array([file] * h), pa.array(np.arange(h, dtype=np.int64)), px, *more], schema=schema
+                )
+
+    return run
 
 
 def _readable() -> Column:
@@ -112,7 +123,11 @@ def rejected_images(images: DataFrame) -> DataFrame:
     return images.filter(~_readable()).select("event", "file", reason.alias("reason"))
 
 
-def to_scanlines(images: DataFrame) -> DataFrame:
-    """Decoded images to grey lines, one page at a time in Arrow; no shuffle. See `rejected_images` for the rest."""
-    flat = images.filter(_readable()).select("event", "file", "image.height", "image.width", "image.nChannels", "image.data")
-    return flat.mapInArrow(_grey, LINES_SCHEMA)
+def to_scanlines(images: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Decoded images to grey lines, one page at a time in Arrow; no shuffle. See `rejected_images` for the rest.
+
+    Columns named in `keep` (a stream's `ts`, say) go along on every line of their page.
+    """
+    flat = images.filter(_readable()).select("event", "file", "image.height", "image.width", "image.nChannels", "image.data", *keep)
+    more = "".join(f", {c} {images.schema[c].dataType.simpleString()}" for c in keep)
+    return flat.mapInArrow(_grey(keep), LINES_SCHEMA + more)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import column_name
+from . import snapshots
 
 RECT = "struct<x:int,y:int,width:int,height:int>"
 CELL_MAP_SCHEMA = (
@@ -110,15 +111,17 @@ def _replace(rows: DataFrame, path: str, by: str, fmt: str) -> None:
     gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(fmt).save(path)
 
 
-def write_cells(cells: DataFrame, path: str) -> None:
-    """Freeze cells once, by event, so that any number of rules can be scored on them later."""
-    _replace(cells, path, "event", "parquet")
+def write_cells(cells: DataFrame, path: str) -> int:
+    """Freeze cells by event, so that any number of rules can be scored on them later; the number of the version.
+
+    Events that come up are replaced and others stay. A version counts once its manifest is there: see `snapshots`.
+    """
+    return snapshots.write(cells, path, "event")
 
 
-def rescore(spark: SparkSession, path: str, events: list[str] | None = None) -> DataFrame:
-    """Frozen cells again; only the named events' folders are opened."""
-    cells = spark.read.parquet(path)
-    return cells.filter(F.col("event").isin(events)) if events else cells
+def rescore(spark: SparkSession, path: str, events: list[str] | None = None, version: int | None = None) -> DataFrame:
+    """Frozen cells of the last version or another; only the named events' folders are opened."""
+    return snapshots.read(spark, path, version=version, keys=events)
 
 
 def write_samples(labels: DataFrame, path: str) -> None:

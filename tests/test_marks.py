@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkframe.operators import components, tally
 
@@ -150,9 +151,99 @@ def test_verdicts_on_drawn_strips(spark):
     assert {r.page: r.marked for r in boxes.collect()} == {0: True, 1: True, 2: True, 3: True, 4: False}
 
 
-def test_whole_page_queries_leave_no_page_out(spark):
-    from inkframe.plans import BUILDS
+def test_dense_pages_are_declined(spark):
+    ink = spark.createDataFrame([(p, x, 5) for p, n in ((1, 30), (2, 31)) for x in range(n)], "page bigint, x bigint, y bigint")
+    got = {r.page: (r.angle, r.length, r.reason) for r in tally.strongest_line(ink, max_ink=30).collect()}
+    assert got == {1: (0, 29.0, ""), 2: (None, None, "too dense")}
+
+
+def drawn(*strokes, height=116, width=460):
+    """A context with strokes (x0, y0, x1, y1), three pixels wide, as the pen draws them."""
+    m = np.zeros((height, width), int)
+    for x0, y0, x1, y1 in strokes:
+        for y in range(y0, y1 + 1):
+            x = round(x0 + (x1 - x0) * (y - y0) / max(1, y1 - y0))
+            m[y, max(0, x - 1):x + 2] = 1
+    return m
+
+
+def seen(x0, y0, x1, y1, top=35, bottom=81):
+    """What the counted band, trimmed from a strip of lines 29 to 86, shows of a stroke: angle, extent and middle."""
+    a, b = max(y0, top), min(y1, bottom)
+    at = lambda y: x0 + (x1 - x0) * (y - y0) / (y1 - y0)
+    return np.degrees(np.arctan2(b - a, at(b) - at(a))), a, b, (at(a) + at(b)) / 2
+
+
+UPRIGHT = (40, 41, 40, 75)
+
+
+@pytest.mark.parametrize(("strokes", "overruns", "reason"), [
+    # It comes down into the row from above; it hangs below its own row; another mark stands over it.
+    ([UPRIGHT, (66, 3, 76, 72)], [0, 26], "ink continues past the row"),
+    ([UPRIGHT, (66, 41, 76, 112)], [0, 0], ""),
+    ([UPRIGHT, (66, 41, 70, 72), (62, 3, 64, 22)], [0, 0], ""),
+    # One line without ink is bridged, two are not; a stroke that just leaves the row belongs to it.
+    ([UPRIGHT, (66, 20, 66, 72)], [0, 9], ""),
+])
+def test_ink_is_followed_above_the_row(spark, strokes, overruns, reason):
+    m = drawn(*strokes)
+    lines = spark.createDataFrame([(1, y, row.tolist()) for y, row in enumerate(m)], "strip bigint, y bigint, px array<int>")
+    rows = [(1, k, "stroke", *(float(v) for v in seen(*s)[:1]), *(v for v in seen(*s)[1:3]), int(seen(*s)[3] + 0.5), 40, 40) for k, s in enumerate(strokes[:2])]
+    found = spark.createDataFrame(rows, "strip bigint, k bigint, kind string, angle double, min_y bigint, max_y bigint, mid_x bigint, length bigint, ink bigint")
+    traced = tally.row_overrun(found.withColumn("min_x", F.col("mid_x") - 3).withColumn("max_x", F.col("mid_x") + 3), lines, 29)
+    assert [r.overrun for r in traced.orderBy("k").collect()] == overruns
+    strips = spark.createDataFrame([(1, 80, 400, False)], "strip bigint, ink bigint, raw_ink bigint, clipped boolean")
+    got = tally.count_tallies(traced.withColumn("angle", F.lit(90)).withColumn("max_y", F.lit(75)), strips, 58).first()
+    assert (got.reason, got["count"]) == (reason, None if reason else 2)
+
+
+def test_trace_bridges_one_line_and_turns_with_the_ink(spark):
+    m = drawn((10, 0, 30, 40), height=60, width=50)
+    m[20] = 0
+    cases = {1: m, 2: np.where(np.arange(60)[:, None] == 19, 0, m), 3: np.zeros((60, 50), int)}
+    lines = spark.createDataFrame([(s, y, row.tolist()) for s, c in cases.items() for y, row in enumerate(c)], "strip bigint, y bigint, px array<int>")
+    # A flat stroke has no upward end; the last has no lines at all.
+    rows = [(1, 0, 63.4, 35, 40, 29), (2, 0, 63.4, 35, 40, 29), (3, 0, 90.0, 35, 40, 29), (1, 1, 0.0, 35, 40, 29), (9, 0, 90.0, 35, 40, 29)]
+    got = tally.row_overrun(spark.createDataFrame(rows, "strip bigint, k bigint, angle double, min_y bigint, max_y bigint, mid_x bigint"), lines, 30).collect()
+    assert {(r.strip, r.k): r.overrun for r in got} == {(1, 0): 29, (2, 0): 9, (3, 0): 0, (1, 1): 0, (9, 0): 0}
+
+
+def test_sweep_of_any_grid_equals_every_setting_by_itself(spark):
+    rng = np.random.default_rng(5)
+    rows = [(crop, k, int(x), int(x + w), int(y), int(y + h), int(1 + rng.integers(1, 1 + (w + 1) * (h + 1))))
+            for crop in range(60) for k in range(int(rng.integers(1, 7)))
+            for x, w, y, h in [rng.integers(0, 45, 4)]]
+    boxes = spark.createDataFrame(rows, "crop bigint, k bigint, min_x bigint, max_x bigint, min_y bigint, max_y bigint, count bigint").cache()
+    truth = spark.createDataFrame([(c, c % 4) for c in range(59)], "crop bigint, digits int")
+    grid = {"hollow": [0.3, 0.0, 0.06, 0.06, 1.0], "short": np.linspace(0, 1, 200).tolist(), "bar": [0.2, 1.0, 3.5, 50.0]}
+    got = {(r.param, r.setting): tuple(r)[2:] for r in components.sweep_shape(boxes, truth, values=grid).collect()}
+    assert len(got) == 4 + 200 + 4
+    digits = {c: c % 4 for c in range(59)}
+    for param, setting in [*((p, v) for p in ("hollow", "bar") for v in grid[p]), *(("short", v) for v in grid["short"][::23])]:
+        one = {**components.SHIPPING, param: setting}
+        right = none = over = 0
+        kept = [b for b in rows if not (b[5] - b[4] + 1 < one["short"] * 58 or (b[3] - b[2] + 1) / (b[5] - b[4] + 1) > one["bar"]
+                                        or b[6] < (b[3] - b[2] + 1) * (b[5] - b[4] + 1) * one["hollow"])]
+        for crop, want in digits.items():
+            if not any(b[0] == crop for b in rows):
+                continue
+            own = sorted((b for b in kept if b[0] == crop), key=lambda b: (b[2], b[1]))
+            tall = max((b[5] - b[4] + 1 for b in own), default=0)
+            n = len(joined_boxes([b[2:6] for b in own if b[5] - b[4] + 1 >= tall * components.SPECK]))
+            right, none, over = right + (n == want), none + (n == 0 and want != 0), over + (n > want)
+        assert got[param, setting] == (right, none, over), (param, setting)
+    assert components.sweep_shape(boxes.limit(0), truth).count() == 0
+
 
-    for name, lost in (("q_verdict", "kind = 'box' and mass = 0"), ("q_moments", "mass = 0"), ("q_hough", "reason = 'too dense'")):
-        some, every = (BUILDS[n](spark, "/root/testdata/sf0.01") for n in (name, name + "_all"))
-        assert some.count() == every.count() and every.where(lost).count() == 0
+def joined_boxes(boxes):
+    """Left to right: a box joins the last one where they overlap by half or make one digit."""
+    out = []
+    for x0, x1, y0, y1 in boxes:
+        if out:
+            a0, a1, b0, b1 = out[-1]
+            h = max(b1, y1) - min(b0, y0) + 1
+            if min(a1, x1) - max(a0, x0) > (min(a1 - a0, x1 - x0) + 1) * 0.5 or (x0 - a1 - 1 <= h * 0.18 and max(a1, x1) - min(a0, x0) + 1 <= h * 1.05):
+                out[-1] = (min(a0, x0), max(a1, x1), min(b0, y0), max(b1, y1))
+                continue
+        out.append((x0, x1, y0, y1))
+    return out

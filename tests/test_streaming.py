@@ -4,12 +4,13 @@ import json
 import os
 import time
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkframe.operators import pairing
-from inkframe.streaming import drafts, metrics
+from inkframe.sources import pages as pages_source
+from inkframe.streaming import drafts, metrics, progress
 from inkframe.streaming import pairing as stream_pairing
 
 
@@ -31,74 +32,152 @@ def write_batches(folder, batches):
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
 
 
-def test_pairing_stream_equals_batch_with_pages_out_of_order(spark, tmp_path):
-    feeds = {"a": "fbbffbf", "b": "ffbb", "c": "bfbfbfbf"}
-    pages = [
-        {"event": e, "page_no": i + 1, "side": {"f": "front", "b": "back"}[c], "total": len(s)}
-        for e, s in feeds.items() for i, c in enumerate(s)
-    ]
-    shuffled = [pages[i] for i in sorted(range(len(pages)), key=lambda i: (i * 7) % 19)]
-    write_batches(tmp_path / "in", [shuffled[:6], shuffled[6:11], shuffled[11:]])
-    src = spark.readStream.schema("event string, page_no bigint, side string, total bigint").option(
-        "maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    # A stream with processing-time timeouts has no natural end, so it is stopped once all is read.
-    q = (
-        stream_pairing.pair_stream(src).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "ck")).start()
-    )
-    end = time.time() + 90
-    while sum(p["numInputRows"] for p in q.recentProgress) < len(pages) and time.time() < end:
-        time.sleep(0.5)
-    q.stop()
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("event", "card_no", "front_page", "back_page").collect()}
-    batch = spark.createDataFrame(pages).withColumn("overlap", F.lit(1.0))
-    want = {tuple(r) for r in pairing.pair_pages(batch).select("event", "card_no", "front_page", "back_page").collect()}
-    assert got == want
-
-
-class FakeState:
-    def __init__(self):
-        self.value, self.hasTimedOut, self.timeout = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value, self.timeout = value, None
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def drive(state, pages, total=None, quiet=False):
-    state.hasTimedOut = quiet
-    pdf = pd.DataFrame({"page_no": [p for p, _ in pages], "side": [s for _, s in pages], "total": [total] * len(pages)})
-    out = pd.concat(list(stream_pairing._pair(("e",), iter([] if quiet else [pdf]), state)))
-    return [tuple(None if pd.isna(v) else v for v in r[1:]) for r in out.itertuples(index=False)]
-
-
-def test_cards_go_on_after_a_quiet_time_and_late_pages_are_told():
-    state = FakeState()
-    assert drive(state, [(1, "front"), (2, "back"), (4, "back")]) == [(1, 1, 2, None)]
-    assert state.timeout == stream_pairing.QUIET_MS
-    assert drive(state, [], quiet=True) == [(2, None, 4, None)]  # page 3 is taken to be lost
-    assert state.timeout is None
-    assert drive(state, [(3, "front"), (5, "front")]) == [(None, None, None, 3)]
-    assert drive(state, [(6, "back"), (6, "back")], total=6) == [(3, 5, 6, None)]
-    assert drive(state, [(6, "back")]) == [(None, None, None, 6)]
-
-
-def test_waiting_pages_are_bounded(monkeypatch):
-    monkeypatch.setattr(stream_pairing, "MAX_WAITING", 3)
-    state = FakeState()
-    assert drive(state, [(p, "front" if p % 2 else "back") for p in (3, 4, 5)]) == []
-    assert drive(state, [(6, "back")]) == [(1, 3, 4, None), (2, 5, 6, None)]
-    assert drive(state, [(1, "front")]) == [(None, None, None, 1)]
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small streams: their state is held in two stores instead of eight."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+PAGES = "event string, page_no bigint, side string, total bigint, ts timestamp"
+
+
+def at(seconds):
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(1_700_000_000 + seconds))
+
+
+def page(event, page_no, side, seconds, total=None):
+    return {"event": event, "page_no": page_no, "side": side, "total": total, "ts": at(seconds)}
+
+
+def read(spark, folder, schema=PAGES, files=1):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(str(folder))
+
+
+def cards_of(spark, out):
+    return sorted(tuple(r) for r in spark.read.parquet(str(out)).select("event", "card_no", "front_page", "back_page", "late_page").fillna(-1).collect())
+
+
+def test_pairing_stream_equals_batch_with_pages_out_of_order_and_a_restart(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    feeds = {"a": "fbbffbf", "b": "ffbb", "c": "bfbfbfbf", "d": "".join(rng.choice(["f", "b"], 60))}
+    pages = [page(e, i + 1, {"f": "front", "b": "back"}[c], 0, len(s)) for e, s in feeds.items() for i, c in enumerate(s)]
+    shuffled = [{**pages[i], "ts": at(k)} for k, i in enumerate(rng.permutation(len(pages)))]
+    cuts = [0, 20, 31, 55, len(pages)]
+    batches = [shuffled[a:b] for a, b in zip(cuts, cuts[1:])]
+    write_batches(tmp_path / "in", batches[:2])
+    finish(stream_pairing.pair_stream(read(spark, tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    for k, rows in enumerate(batches[2:]):
+        write_batches(tmp_path / f"more{k}", [rows])
+        os.rename(tmp_path / f"more{k}" / "000.json", tmp_path / "in" / f"9{k}.json")
+    finish(stream_pairing.pair_stream(read(spark, tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    batch = spark.createDataFrame(pages).withColumn("overlap", F.lit(1.0)).withColumn("late_page", F.lit(None).cast("bigint"))
+    want = pairing.pair_pages(batch).select("event", "card_no", "front_page", "back_page", F.lit(-1).cast("bigint").alias("late_page")).fillna(-1)
+    assert cards_of(spark, tmp_path / "out") == sorted(tuple(r) for r in want.collect())
+
+
+def test_state_ends_and_late_pages_are_told_and_counted(spark, tmp_path):
+    counts = progress.LateCounts()
+    spark.streams.addListener(counts)
+    try:
+        write_batches(tmp_path / "in", [
+            [page("e", 1, "front", 0), page("e", 2, "back", 1), page("e", 4, "back", 2)],  # page 3 is missing, 4 waits
+            [page("x", 1, "front", 200)],  # time goes on
+            [page("w", 1, "back", 201, 1)],  # and e is found to be quiet
+            [page("e", 3, "front", 205), page("e", 5, "front", 206), page("e", 6, "back", 207)],
+            [page("e", 6, "back", 207)],
+            [page("y", 1, "front", 2000, 1)],  # e and x are forgotten
+            [page("e", 7, "front", 10), page("y", 1, "front", 2001, 1)],  # behind the watermark; sent again
+        ])
+        paired = progress.watch_pairing(stream_pairing.pair_stream(read(spark, tmp_path / "in"), late="10 seconds", quiet_ms=60_000, keep_ms=600_000))
+        q = paired.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+        got = cards_of(spark, tmp_path / "out")
+        assert got == sorted([
+            ("e", 1, 1, 2, -1), ("e", 2, -1, 4, -1), ("e", -1, -1, -1, 3), ("e", 3, 5, 6, -1), ("e", -1, -1, -1, 6), ("w", 1, -1, 1, -1), ("x", 1, 1, -1, -1), ("y", 1, 1, -1, -1), ("y", -1, -1, -1, 1),
+        ])
+        end = time.time() + 30
+        while counts.of(q.id).get("rows", 0) < 12 and time.time() < end:
+            time.sleep(0.2)
+        told = counts.of(q.id)
+        assert (told["dropped_by_watermark"], told["pairing.late_pages"], told["pairing.cards"]) == (1, 3, 6)
+        # Of e and x, whose cards are all made, nothing is left.
+        rows = spark.read.format("statestore").option("stateVarName", "point").load(str(tmp_path / "ck"))
+        assert [r.key.event for r in rows.select("key").collect()] == ["y"]
+    finally:
+        spark.streams.removeListener(counts)
+
+
+def test_any_number_of_pages_may_wait(spark, tmp_path):
+    many = 6000
+    write_batches(tmp_path / "in", [
+        [page("e", p, "front" if p % 2 else "back", p % 50, many) for p in range(many, 1, -1)], [page("e", 1, "front", 50, many)],
+    ])
+    finish(stream_pairing.pair_stream(read(spark, tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert cards_of(spark, tmp_path / "out") == [("e", k + 1, 2 * k + 1, 2 * k + 2, -1) for k in range(many // 2)]
+
+
+def test_files_are_numbered_once_their_event_is_complete(spark, tmp_path):
+    schema = "event string, file string, side string, total bigint, ts timestamp"
+
+    def file(event, name, seconds, total=None):
+        return {"event": event, "file": name, "side": "front", "total": total, "ts": at(seconds)}
+
+    counts = progress.LateCounts()
+    spark.streams.addListener(counts)
+    try:
+        write_batches(tmp_path / "in", [
+            [file("a", "p10.jpg", 0, 3), file("b", "scan2.jpg", 0), file("b", "scan2.jpg", 1)], [file("a", "p9.jpg", 5, 3), file("a", "q009.jpg", 5, 3), file("b", "x.jpg", 5), file("b", "scan00100000000000000000000000.jpg", 6)],
+            [file("a", "p1.jpg", 6, 3)], [file("c", "1.jpg", 900)],
+        ])
+        numbered = progress.watch_numbering(stream_pairing.number_stream(read(spark, tmp_path / "in", schema), late="10 seconds", quiet_ms=60_000))
+        q = numbered.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+        got = {(r.event, r.file): (r.page_no, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == {
+            ("a", "p9.jpg"): (1, 3), ("a", "q009.jpg"): (2, 3), ("a", "p10.jpg"): (3, 3), ("a", "p1.jpg"): (None, 3),
+            ("b", "x.jpg"): (1, 3), ("b", "scan2.jpg"): (2, 3), ("b", "scan00100000000000000000000000.jpg"): (3, 3),
+        }
+        assert counts.of(q.id)["numbering.late_files"] == 1
+    finally:
+        spark.streams.removeListener(counts)
+
+
+def test_image_files_stream_into_cards_as_the_batch_makes_them(spark, tmp_path):
+    """Files of scans come in any order, two at a time; numbers and cards are those of the listing and the batch."""
+    from test_sources import png
+
+    def draw(path, shade, seconds):
+        with open(path, "wb") as f:
+            f.write(png(np.full((6, 8, 3), shade, np.uint8)))
+        os.utime(path, (1_700_000_000 + seconds,) * 2)
+
+    for event, sides in {"beach": "fbfbbf", "pier": "bf"}.items():
+        os.makedirs(tmp_path / "scans" / event)
+        for n, s in enumerate(sides):
+            draw(str(tmp_path / "scans" / event / f"page-{n * 7 + 2}.png"), 250 if s == "f" else 20, (n * 5) % 7)
+    light = F.aggregate("px", F.lit(0), lambda a, v: a + v) / F.size("px")
+    side = F.when(light > 128, "front").otherwise("back")
+    images = pages_source.stream_pages(spark, str(tmp_path / "scans"), ("png",), files_per_trigger=2)
+    sided = pages_source.to_scanlines(images, keep=["ts"]).filter("y = 0").select("event", "file", side.alias("side"), F.lit(None).cast("bigint").alias("total"), "ts")
+    numbered = stream_pairing.number_stream(sided, late="1 minute", quiet_ms=1000)
+    cards = stream_pairing.pair_stream(numbered, late=None, quiet_ms=1000)
+    os.makedirs(tmp_path / "scans" / "zz")  # time goes on with another event
+    draw(str(tmp_path / "scans" / "zz" / "1.png"), 250, 9000)
+    finish(cards, str(tmp_path / "out"), str(tmp_path / "ck"))
+    numbers = pages_source.page_numbers(spark, str(tmp_path / "scans"), ("png",))
+    batch = pages_source.to_scanlines(pages_source.read_pages(spark, str(tmp_path / "scans"), ("png",))).filter("y = 0").select("event", "file", side.alias("side")).join(numbers, ["event", "file"])
+    want = pairing.pair_pages(batch.filter("event <> 'zz'").withColumn("overlap", F.lit(1.0))).select("event", "card_no", "front_page", "back_page").fillna(-1)
+    assert [r[:4] for r in cards_of(spark, tmp_path / "out") if r[0] != "zz"] == sorted(tuple(r) for r in want.collect())
 
 
 def test_late_pages_are_counted(spark):
     rows = [("a", None, None, None, 3), ("a", None, None, None, 4), ("b", 1, 1, 2, None)]
-    got = stream_pairing.late_counts(spark.createDataFrame(rows, stream_pairing.OUT)).collect()
+    got = stream_pairing.late_counts(spark.createDataFrame(rows, stream_pairing.CARDS)).collect()
     assert [tuple(r) for r in got] == [("a", 2)]
 
 
@@ -129,6 +208,32 @@ def test_upsert_keeps_latest_and_survives_replay(spark, tmp_path):
     assert got == {("f", "new"), ("g", "g5")}
 
 
+def test_compaction_bounds_what_is_read_and_replays_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="nothing was written"):
+        drafts.read_latest(spark, path, ["file_name"], ["saved_at"])
+    assert drafts.compact(spark, path, ["file_name"], ["saved_at"]) == -1
+    write = drafts.upsert_into(path, ["file_name"], ["saved_at"], merge_every=4)
+    batch = lambda k: spark.createDataFrame([(f"f{i}", 10 * k + i, f"{k}/{i}") for i in range(k % 3, 5)], "file_name string, saved_at bigint, v string")
+    for k in range(11):
+        write(batch(k), k)
+    read = lambda: sorted(map(tuple, drafts.read_latest(spark, path, ["file_name"], ["saved_at"]).collect()))
+    want = sorted((f"f{i}", 10 * k + i, f"{k}/{i}") for i, k in ((0, 9), (1, 10), (2, 10), (3, 10), (4, 10)))
+    assert read() == want and drafts._head(spark, path) == 7
+    scanned = drafts._log(spark, path, 7)
+    assert scanned.select(F.input_file_name().alias("f")).distinct().count() <= 3 * 8 and scanned.count() == sum(5 - k % 3 for k in (8, 9, 10))
+    # Replays, of a batch in the base with other rows, and of one beside it.
+    write(spark.createDataFrame([("f0", 999, "wrong")], "file_name string, saved_at bigint, v string"), 3)
+    write(batch(9), 9)
+    assert read() == want
+    assert drafts.compact(spark, path, ["file_name"], ["saved_at"]) == 10 and read() == want
+    assert spark.read.parquet(f"{path}/base/upto=10").count() == 5
+    assert drafts.compact(spark, path, ["file_name"], ["saved_at"]) == 10
+    # A base without its pointer is not taken.
+    spark.createDataFrame([("f0", 5000, "torn")], "file_name string, saved_at bigint, v string").write.parquet(f"{path}/base/upto=11")
+    assert read() == want
+
+
 def test_resends_are_dropped(spark, tmp_path):
     row = {"save_id": "s1", "ts": "2024-01-01T00:00:00Z", "value": 1}
     write_batches(tmp_path / "in", [[row], [row, {**row, "save_id": "s2"}]])
