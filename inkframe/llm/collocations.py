@@ -20,8 +20,8 @@ from .common import slices, stored
 LEAST, COVERED, TOP = 30, 80, 2000
 #: Words of the longest window.
 ORDER = 4
-#: Words that a task counts at a time, and bits (as a power of two) of the filter of frequent pairs.
-CHUNK, BITS = 3_000_000, 28
+#: Words that a task counts at a time, and bits (as a power of two) of the filters of frequent pairs and triples.
+CHUNK, BITS = 1_200_000, 27
 #: Parts that a language's phrases are first ranked in.
 SALTS = 64
 
@@ -68,16 +68,22 @@ class Chunk:
         lang = np.repeat([place[x] for x in self.langs], [len(p) for p in self.parts]).astype(np.int32)
         return np.concatenate(self.parts), lang, names
 
-    def hashes(self, lang: np.ndarray, ids: np.ndarray, names: list[str]) -> np.ndarray:
-        """A number for each neighbouring pair of words in its language, the same in every task; pairs across pieces get 0."""
+    def hashes(self, size: int) -> np.ndarray:
+        """For each place the number of the `size` words from there on in their language, the same in every task; 0 where a piece
+        ends among them."""
+        ids, lang, names = self.arrays()
         of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in self.known], np.uint64)
         of_lang = np.array([xxhash.xxh3_64_intdigest(n.encode(), 1) for n in names], np.uint64)
-        h = of_word[ids]
-        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) ^ of_lang[lang[:-1]]
-        pair ^= pair >> np.uint64(29)
-        pair = (pair * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
-        pair[(ids[:-1] == 0) | (ids[1:] == 0)] = 0
-        return pair
+        gram, whole = of_word[ids] ^ of_lang[lang], ids > 0
+        for k in range(1, min(size, len(ids))):
+            gram = gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + of_word[ids[k:]]
+            gram ^= gram >> np.uint64(29)
+            gram *= np.uint64(0xBF58476D1CE4E5B9)
+            whole = whole[:-1] & (ids[k:] > 0)
+        out = np.zeros(len(ids), np.uint64)
+        if size <= len(ids):
+            out[:len(gram)] = np.where(whole, gram | np.uint64(1), np.uint64(0))
+        return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -92,82 +98,94 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield chunk
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of neighbouring words with their counts."""
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int32())])
-    for chunk in _chunks(batches):
-        ids, lang, names = chunk.arrays()
-        pair, n = np.unique(chunk.hashes(lang, ids, names), return_counts=True)
-        keep = pair != 0
-        pair, n = pair[keep].view(np.int64), n[keep].astype(np.int32)
-        for a in range(0, len(pair), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[a:a + (1 << 16)]), pa.array(n[a:a + (1 << 16)])], schema=schema)
+def _grams(size: int, shorter: Broadcast | None):
+    """Hashes of `size` words side by side with their counts; of three, those only whose pairs the filter of pairs passes."""
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for chunk in _chunks(batches):
+            grams = chunk.hashes(size)
+            if shorter is not None:
+                known = known or Filter.opened(shorter.value)
+                pairs = known.passes(chunk.hashes(size - 1))
+                grams = grams[:-1][pairs[:-1] & pairs[1:]]
+            grams, n = np.unique(grams, return_counts=True)
+            keep = grams != 0
+            grams, n = grams[keep].view(np.int64), n[keep].astype(np.int32)
+            for a in range(0, len(grams), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(grams[a:a + (1 << 16)]), pa.array(n[a:a + (1 << 16)])], schema=schema)
+
+    return run
 
 
 class Filter:
-    """A Bloom filter of pair hashes: two bits each, of a size that doesn't grow. It may pass pairs that aren't in it, never miss one."""
+    """A Bloom filter of hashes: two bits each, of a size that doesn't grow. It may pass some that aren't in it, never miss one."""
 
-    def __init__(self, bits: int = BITS, raw: bytes | None = None):
+    def __init__(self, bits: int, raw: bytes | None = None):
         self.bits = bits
         self.bytes = np.zeros(1 << (bits - 3), np.uint8) if raw is None else np.frombuffer(raw, np.uint8)
 
-    def places(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = pair.view(np.uint64)
+    @classmethod
+    def opened(cls, packed: bytes) -> Filter:
+        raw = zlib.decompress(packed)
+        return cls(len(raw).bit_length() + 2, raw)
+
+    def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = grams.view(np.uint64)
         shift = np.uint64(64 - self.bits)
         return (u * np.uint64(0xD6E8FEB86659FD93)) >> shift, (u * np.uint64(0xA0761D6478BD642F)) >> shift
 
-    def add(self, pair: np.ndarray) -> None:
-        for at in self.places(pair):
+    def add(self, grams: np.ndarray) -> None:
+        for at in self.places(grams):
             np.bitwise_or.at(self.bytes, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-    def passes(self, pair: np.ndarray) -> np.ndarray:
-        a, b = ((self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in self.places(pair))
-        return (a & b).astype(bool) & (pair != 0)
+    def passes(self, grams: np.ndarray) -> np.ndarray:
+        a, b = ((self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in self.places(grams))
+        return (a & b).astype(bool) & (grams != 0)
 
 
-def frequent_pairs(docs: DataFrame, least: int) -> bytes:
-    """The filter of all pairs of words that occur `least` times or more, as zlib-packed bytes of at most 2**BITS bits.
+def frequent_grams(docs: DataFrame, size: int, least: int, shorter: Broadcast | None = None) -> bytes:
+    """The filter of all runs of `size` words that occur `least` times or more, packed; its size is 2**BITS bits, whatever the input.
 
-    Tasks make filters of their share of the pairs, cut into slabs; each slab is or-ed by itself.
+    Tasks make filters of their share of the runs, cut into slabs; each slab is or-ed by itself.
     """
-    counts = docs.mapInArrow(_pairs, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
-    slab = 1 << 16
+    counts = docs.mapInArrow(_grams(size, shorter), "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") >= least).select("gram"), "grams")
+    slab, bits = 1 << 16, BITS
 
     def filled(batches):
-        held, bits = None, BITS
+        held = Filter(bits)
         for b in batches:
-            if b.num_rows:
-                held = held or Filter(bits)
-                held.add(b.column("pair").to_numpy())
-        if held is not None:
-            for at in range(0, len(held.bytes), slab):
-                part = held.bytes[at:at + slab]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([at // slab]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slab", "raw"])
+            held.add(b.column("gram").to_numpy())
+        for at in range(0, len(held.bytes), slab):
+            part = held.bytes[at:at + slab]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // slab]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slab", "raw"])
 
     def joined(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(zlib.decompress(r), np.uint8) for r in t.column("raw").to_pylist()]
         return pa.table({"slab": t.column("slab")[:1], "raw": pa.array([zlib.compress(reduce(np.bitwise_or, parts).tobytes(), 1)], pa.binary())})
 
-    counts = stored(counts, "pairs")
-    # Each task makes one filter of fixed size, however many pairs there are, and a slab gets at most 64 parts.
+    # Each task makes one filter of fixed size, however many runs there are, and a slab gets at most 64 parts.
     slabs = counts.coalesce(64).mapInArrow(filled, "slab long, raw binary").groupBy("slab").applyInArrow(joined, "slab long, raw binary")
-    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for row in slabs.toLocalIterator():
         part = np.frombuffer(zlib.decompress(row["raw"]), np.uint8)
         out[row["slab"] * slab:row["slab"] * slab + len(part)] = part
     return zlib.compress(out.tobytes(), 1)
 
 
-def lead_windows(ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """For each word the window of ORDER words that it leads, padded with 0 from the first place that doesn't follow on."""
+def lead_windows(ids: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    """For each word the window of ORDER words that it leads, padded with 0 from where a pair or triple in it is not frequent."""
     windows = np.zeros((ORDER, len(ids)), np.int32)
     windows[0] = ids
-    go = np.ones(len(ids), bool)
+    go = pairs.copy()
     for k in range(1, ORDER):
-        step = np.zeros(len(ids), bool)
-        step[:len(ids) - k] = follows[k - 1:len(ids) - 1] if len(ids) > k else False
-        go &= step
+        if k > 1:  # the triple that ends with the new word
+            ahead = np.zeros(len(ids), bool)
+            ahead[:len(ids) - k + 2] = triples[k - 2:]
+            go &= ahead
         windows[k, :len(ids) - k] = ids[k:]
         windows[k][~go] = 0
     return windows
@@ -192,18 +210,16 @@ def _counted(lang: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return columns[0], np.stack(columns[1:]), np.bincount(at)
 
 
-def count_windows(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+def count_windows(docs: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
     """lang, w1 to w4, n: how often each padded longest window occurs in a chunk of words; '' stands for padding."""
     schema = pa.schema([("lang", pa.string()), *((c, pa.string()) for c in COLUMNS), ("n", pa.int64())])
 
     def run(batches):
         known = None
         for chunk in _chunks(batches):
-            if known is None:
-                known = Filter(BITS, zlib.decompress(frequent.value))
+            known = known or [Filter.opened(pairs.value), Filter.opened(triples.value)]
             ids, lang, names = chunk.arrays()
-            follows = known.passes(chunk.hashes(lang, ids, names))
-            windows = lead_windows(ids, follows)
+            windows = lead_windows(ids, *(f.passes(chunk.hashes(k)) for k, f in zip((2, 3), known)))
             letters = pa.array([x.decode("utf-8", "replace") if k else "" for k, x in enumerate(chunk.known)], pa.string())
             langs = pa.array(names, pa.string())
             for some in ((ids > 0) & (windows[1] == 0), windows[1] > 0):  # most windows end after their first word
@@ -220,11 +236,13 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """lang, size, phrase, f: every phrase of 1 to ORDER words that occurs `least` times; size 0 has all word occurrences of a
     language.
 
-    A window ends early where the next two words are no frequent pair: no phrase that reaches beyond can be frequent. So it is
+    A window ends early where two or three words side by side are not frequent: no phrase that reaches beyond can be. So it is
     the frequent part of the longest window that is counted, and each prefix of it is summed by ROLLUP.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, least))
-    rolled = count_windows(docs, sent).rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    send = docs.sparkSession.sparkContext.broadcast
+    pairs = send(frequent_grams(docs, 2, least))
+    triples = send(frequent_grams(docs, 3, least, pairs))
+    rolled = count_windows(docs, pairs, triples).rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     size = F.lit(ORDER) - F.bit_count("level")
     padded = reduce(operator.or_, (F.col(c) == "" for c in COLUMNS))
     rolled = rolled.where(F.col("lang").isNotNull() & ~F.coalesce(padded, F.lit(False)) & ((F.col("f") >= least) | (size == 0)))

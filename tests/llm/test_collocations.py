@@ -1,5 +1,4 @@
 import re
-import zlib
 from collections import Counter
 
 import fixtures
@@ -63,26 +62,28 @@ def test_equal_to_brute_force(spark, monkeypatch, least, chunk):
 
 
 def test_a_small_filter_only_lets_more_through(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "BITS", 8)
+    monkeypatch.setattr(collocations, "BITS", 4)
     rows = random_rows(8)
     docs = spark.createDataFrame([(t, lg) for lg, t in rows], "text string, lang string")
     assert found(docs, least=9) == expected(rows, 9)
 
 
-def test_filter_holds_frequent_pairs_only(spark):
-    docs = spark.createDataFrame([("one two. three four", "en")] * 5 + [("two three", "en"), ("one two", "de")], "text string, lang string")
-    known = collocations.Filter(raw=zlib.decompress(collocations.frequent_pairs(docs, 5)))
+def test_filters_hold_frequent_runs_only(spark):
+    docs = spark.createDataFrame([("one two three. three four", "en")] * 5 + [("two three four", "en"), ("one two three", "de")], "text string, lang string")
+    pairs = collocations.frequent_grams(docs, 2, 5)
+    triples = collocations.frequent_grams(docs, 3, 5, spark.sparkContext.broadcast(pairs))
     chunk = collocations.Chunk()
     chunk.add("en", "one two three four. one two")
-    ids, lang, names = chunk.arrays()
-    assert known.passes(chunk.hashes(lang, ids, names)).tolist() == [True, False, True, False, False, True, False]
+    assert collocations.Filter.opened(pairs).passes(chunk.hashes(2)).tolist() == [True, True, True, False, False, True, False, False]
+    assert collocations.Filter.opened(triples).passes(chunk.hashes(3)).tolist() == [True] + [False] * 7
 
 
 def test_windows_lead_and_pad():
     ids = np.array([1, 2, 3, 4, 5, 0, 6, 0], np.int32)
-    follows = np.array([True, True, True, False, False, False, False])
-    got = collocations.lead_windows(ids, follows).T.tolist()
-    assert got[:5] == [[1, 2, 3, 4], [2, 3, 4, 0], [3, 4, 0, 0], [4, 0, 0, 0], [5, 0, 0, 0]] and got[6] == [6, 0, 0, 0]
+    pairs = np.array([True, True, True, True, False, False, False, False])
+    triples = np.array([True, True, False, False, False, False, False, False])
+    got = collocations.lead_windows(ids, pairs, triples).T.tolist()
+    assert got[:5] == [[1, 2, 3, 4], [2, 3, 4, 0], [3, 4, 0, 0], [4, 5, 0, 0], [5, 0, 0, 0]] and got[6] == [6, 0, 0, 0]
 
 
 def test_awkward_documents(spark):
