@@ -2,8 +2,8 @@
 
 Counts: texts of plain Latin characters are cut by the documented pre-token pattern, and pieces that are no whole token go
 to the library's own merge model. Ids: where the merges of the file stand in the order of its ids, the vocabulary is also a
-table of ranks, which tiktoken merges several times faster to the same ids. Any other file or text goes to the library
-whole, so results are the library's in every case.
+table of ranks, which tiktoken merges several times faster to the same ids. Any other file or text, and one with a run of
+thousands of blanks, goes to the library whole, so results are the library's in every case.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ RANKED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 _FIND = re.compile(PATTERN).findall
 _ODD = re.compile(f"[^{PLAIN}]").search
+#: Runs of white space that the ranked encoder's pattern may not get, as it recurses for each character, and how they are found:
+#: a slice of SPOT characters at every STRIDE lies whole in any run of STRIDE + SPOT.
+STRIDE, SPOT = 5_000, 32
 #: Entries of one generation of a cache (there are two), and the longest text that enters it.
 ENTRIES, LONGEST = 200_000, 48
 
@@ -91,6 +94,11 @@ def not_whole(path: str) -> list[int]:
     return sorted(i for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if [t.id for t in model.tokenize(s)] != [i])
 
 
+def long_blank(text: str) -> bool:
+    """Whether a text may hold a run of white space that is too long for the ranked encoder. A shorter run may be told too."""
+    return len(text) > STRIDE and any(text[k:k + SPOT].isspace() for k in range(0, len(text) - SPOT, STRIDE))
+
+
 class Encoder:
     """Ids and counts of one tokenizer file, for use inside one task."""
 
@@ -149,7 +157,7 @@ class Encoder:
         return self._plain_ids(text)
 
     def _plain_ids(self, text: str) -> bytes:
-        return np.array(self.ranked(text) if self.ranked else self._library(text), "<u4").tobytes()
+        return np.array(self.ranked(text) if self.ranked and not long_blank(text) else self._library(text), "<u4").tobytes()
 
     def count(self, text: str) -> int:
         """The number of ids; pieces that are whole tokens count one, only the rest is merged."""

@@ -98,3 +98,34 @@ def test_queries(spark, library):
     n = {k: len(library(t)) for k, t in docs.items()}
     assert {r["doc_id"]: r["n_tokens"] for r in queries.BUILDS["op3_token_counts"](spark, SF_DIR).collect()} == n
     assert {r["doc_id"]: r["n_tokens"] - 1 for r in queries.BUILDS["op10_arrow_output"](spark, SF_DIR).collect()} == n
+
+
+@pytest.mark.parametrize("kind", [" ", "\n", " \n", "a", "!", "7", "ab ", " ", "é"])
+def test_runs_of_two_million_characters(kind):
+    text = "start " + kind * (2_000_000 // len(kind)) + "end"
+    whole = np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert bpe.Encoder(PATH).ids(text) == whole
+
+
+@pytest.mark.parametrize("size", [4_000, 4_999, 5_031, 5_032, 5_040, 9_000, 60_000])
+def test_blank_runs_around_the_stride(size):
+    text = "x" * 7 + " " * size + "y" * 5_100
+    whole = np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert bpe.Encoder(PATH).ids(text) == whole and (size < 5_032 or bpe.long_blank(text))
+
+
+def test_long_runs_through_the_operators(spark):
+    from inkframe.llm import packing
+
+    texts = [k * 2_000_000 for k in (" ", "\n", "a", "!")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in arrow_output.arrow_round_trip(docs, PATH).collect()}
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+    packed = {}
+    for r in packing.pack_documents(docs, PATH).collect():
+        packed.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for k, x in enumerate(ids):
+        pieces = sorted(packed[k])
+        assert [p[1] for p in pieces] == list(np.cumsum([0] + [p[2] for p in pieces[:-1]])) and sum(p[2] for p in pieces) == len(x)
+        assert all(c == zlib.crc32(np.array(x[s:s + n], "<u4").tobytes()) for _, s, n, c in pieces)
