@@ -1,14 +1,18 @@
 """Datasheets, file names and the checks around them."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import export, labels, quality, readings
+from ..session import ensure_checkpoint_dir
+from ..sources import tables
 from ..sources.tables import label_key
 from ..streaming import drafts, metrics
 from . import views
 from .cells import LETTERS
-from .registry import query
+from .registry import ORACLES, query
 from .views import SQL, table, whole, with_views
 
 # ------------------------------------------------------------------ jobs
@@ -301,6 +305,44 @@ def q_latest(spark, sf_dir):
     return drafts.latest(saves(spark, sf_dir), ["file_name"], ["ts", "event_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("q_upsert", ORACLES["q_latest"])
+def q_upsert(spark, sf_dir):
+    """The same from a folder that batches of saves went to, were merged in, and were replayed to."""
+    keys, order = ["file_name"], ["ts", "event_id"]
+    path = f"{ensure_checkpoint_dir(spark)}/saves-{uuid.uuid4().hex}"
+    write, rows = drafts.upsert_into(path, keys, order, merge_every=2), saves(spark, sf_dir)
+    cut = rows.agg((F.min("event_id") + F.max("event_id")) / 2).first()[0]
+    write(rows.filter(F.col("event_id") <= cut), 0)
+    write(rows.filter(F.col("event_id") > cut), 1)
+    write(rows.limit(0), 2)
+    write(rows.filter(F.col("event_id") <= cut).withColumn("value", F.lit(-1.0)), 0)  # the base holds it already
+    return drafts.read_latest(spark, path, keys, order).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+SQL["frozen"] = ((), """
+  SELECT l_suppkey % 25 AS event, l_orderkey % 76 + 1 AS card, l_partkey % 93 + 18 AS item_row, max(CAST(l_quantity AS BIGINT)) AS n, max(l_discount) AS ink
+  FROM lineitem GROUP BY ALL""")
+
+
+@query("q_freeze", with_views("""
+WITH big AS (SELECT event FROM frozen GROUP BY event HAVING count(*) * 25 > (SELECT count(*) FROM frozen))
+SELECT 1 AS version, * FROM frozen
+UNION ALL SELECT 2, event, card, item_row, CASE WHEN event IN (SELECT event FROM big) THEN n + 100 ELSE n END, ink FROM frozen""", "frozen"))
+def q_freeze(spark, sf_dir):
+    """Cells frozen by event, then the larger events frozen again with other counts; both versions read back."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(
+        (F.col("l_suppkey") % 25).alias("event"), (F.col("l_orderkey") % 76 + 1).alias("card"), (F.col("l_partkey") % 93 + 18).alias("item_row"),
+    ).agg(F.max(whole("l_quantity")).alias("n"), F.max("l_discount").alias("ink"))
+    path = f"{ensure_checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    tables.write_cells(cells, path)
+    frozen = tables.rescore(spark, path)
+    every = frozen.count()
+    big = frozen.groupBy("event").count().filter(F.col("count") * 25 > every).select("event")
+    tables.write_cells(frozen.join(big, "event", "left_semi").withColumn("n", F.col("n") + 100), path)
+    return tables.rescore(spark, path, version=1).select(F.lit(1).alias("version"), "*").unionByName(
+        tables.rescore(spark, path).select(F.lit(2).alias("version"), "*"))
+
+
 @query("q_progress", """
 SELECT user_id AS event, count(*) AS done, max(event_id % 50) AS total FROM events GROUP BY user_id""")
 def q_progress(spark, sf_dir):
