@@ -48,12 +48,27 @@ def test_crossover_and_mutation_keep_every_piece():
         assert (one >= 0).all() and np.bincount(one, lens).max() <= 100
 
 
-def test_evolution_beats_first_packing():
-    # thirds that best fit decreasing packs badly: 7 bins, 6 are enough
-    lens = np.array([51, 27, 22, 51, 27, 22, 51, 26, 23, 51, 26, 23, 50, 26, 24, 50, 25, 25])
-    rng = np.random.default_rng(1)
-    start = packing.refit(lens, np.zeros(18, np.int64), np.ones(18, bool), rng.permutation(18), 100)
-    assert packing.fitness(lens, packing.evolve(lens, [start], 100, 5, 200), 100) >= packing.fitness(lens, start, 100)
+def triples():
+    """Forty bins' worth of pieces, three to a full bin; best fit decreasing needs 42."""
+    rng, lens = np.random.default_rng(3), []
+    for _ in range(40):
+        a, b = rng.integers(300, 900, 2)
+        lens += [a, b, 2048 - a - b]
+    return np.array(lens)
+
+
+def test_evolution_saves_a_bin_that_best_fit_decreasing_does_not(monkeypatch):
+    lens = triples()
+    everything, none = np.ones(len(lens), bool), np.zeros(len(lens), np.int64)
+    first = packing.refit(lens, none, everything, packing.decreasing(lens, np.arange(len(lens)), np.random.default_rng(0)), 2048)
+    grown = [packing.evolve(lens, [], 2048, seed, 400) for seed in range(4)]
+    assert len(set(first)) == 42 and [len(set(b)) for b in grown] == [41] * 4
+    assert all(np.bincount(b, lens).max() <= 2048 for b in grown)
+    # An elite that comes from another island brings its bin along; this island alone needs 42.
+    assert len(set(packing.evolve(lens, [], 2048, 2, 6))) == 42 and len(set(packing.evolve(lens, [grown[0]], 2048, 2, 6))) == 41
+    # Without crossover the same generations save it on two islands of four.
+    monkeypatch.setattr(packing, "crossover", lambda lens, one, *_: one)
+    assert sorted(len(set(packing.evolve(lens, [], 2048, seed, 400))) for seed in range(4)) == [41, 41, 42, 42]
 
 
 def least_bins(lens, capacity):
