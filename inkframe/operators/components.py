@@ -368,9 +368,8 @@ def sweep_shape(boxes: DataFrame, truth: DataFrame, crop_height: int = 58,
     """Move one shape constant at a time and count crops cut right, not at all, and over.
 
     A crop's boxes are gathered once. For each constant a box has one setting at which its verdict flips, found by halving; a
-    crop's outcome is worked out once between two neighbouring flips of its boxes, and told as a difference at the first setting
-    of that stretch. Differences are summed map-side and added up along the settings, so the work follows the boxes, and
-    more settings cost next to nothing.
+    crop's outcome is worked out once between two neighbouring flips of its boxes. Outcomes are counted map-side by stretch, told as
+    differences at its ends and added up along the settings, so the work follows the boxes, and more settings cost next to nothing.
     """
     def w(b: Column) -> Column:
         return b["max_x"] - b["min_x"] + 1
@@ -384,10 +383,9 @@ def sweep_shape(boxes: DataFrame, truth: DataFrame, crop_height: int = 58,
         "bar": lambda b, v: w(b) / h(b) > F.lit(float(v)),
     }
     grid = {p: sorted(set(map(float, vs))) for p, vs in values.items() if len(vs)}
-    length = F.col("digits")
 
-    def stretches(p: str) -> Column:
-        """(param, at, n) wherever the number of digits cut from a crop may change; the first is at 0."""
+    def flips(p: str) -> Column:
+        """Boxes that the other two constants keep, as they ship, with the number of the setting at which this one's verdict flips."""
         settings, held = grid[p], [q for q in SHIPPING if q != p]
 
         def flip(b: Column) -> Column:
@@ -395,30 +393,34 @@ def sweep_shape(boxes: DataFrame, truth: DataFrame, crop_height: int = 58,
             return _first_where(lambda k: ~drops[p](b, settings[k]) if falls else drops[p](b, settings[k]), 0, len(settings))
 
         fit = F.filter("boxes", lambda b: ~(drops[held[0]](b, SHIPPING[held[0]]) | drops[held[1]](b, SHIPPING[held[1]])))
-        flips = F.transform(fit, lambda b: F.struct(b.alias("b"), flip(b).alias("at")))
-
-        def cut(at: Column) -> Column:
-            stay = F.transform(F.filter(flips, lambda f: f["at"] <= at if p == "bar" else f["at"] > at), lambda f: f["b"])
-            least = F.array_max(F.transform(stay, h)) * F.lit(SPECK)
-            return _merged_count(F.filter(stay, lambda b: h(b) >= least))
-
-        inner = F.filter(F.transform(flips, lambda f: f["at"]), lambda k: (k > 0) & (k < len(settings)))
-        starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), inner)))
-        return F.transform(starts, lambda at: F.struct(F.lit(p).alias("param"), at.alias("at"), cut(at).alias("n")))
-
-    found = _per_crop(boxes).join(truth, "crop").select("crop", "digits", F.flatten(F.array(*map(stretches, grid))).alias("s"))
+        return F.transform(fit, lambda b: F.struct(b.alias("b"), flip(b).alias("at")))
 
-    def outcome(number: Column) -> Column:
-        one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
-        return F.struct(one(number == length).alias("r"), one((number == 0) & (length != 0)).alias("z"), one(number > length).alias("o"))
+    def starts(p: str) -> Column:
+        """The first setting, and those at which a box of the crop flips."""
+        inner = F.filter(F.transform(F.col(f"_{p}"), lambda f: f["at"]), lambda k: (k > 0) & (k < len(grid[p])))
+        return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), inner)))
 
-    def change(s: Column, i: Column) -> Column:
-        before = F.get("s", i - 1)
-        same = (i > 0) & (before["param"] == s["param"])
-        now, last = outcome(s["n"]), outcome(before["n"])
-        return F.struct(s["param"].alias("param"), s["at"].alias("at"), *[(now[c] - F.when(same, last[c]).otherwise(0)).alias(c) for c in "rzo"])
-
-    changes = found.select(F.inline(F.transform("s", change))).groupBy("param", "at").agg(*[F.sum(c).alias(c) for c in "rzo"])
+    def stretches(p: str) -> Column:
+        """(param, at, till, kept): the boxes that stay from one setting up to the next at which one flips."""
+        def kept(at: Column, i: Column) -> Column:
+            stay = F.filter(F.col(f"_{p}"), lambda f: f["at"] <= at if p == "bar" else f["at"] > at)
+            till = F.coalesce(F.get(F.col(f"_starts_{p}"), i + 1), F.lit(len(grid[p])))
+            return F.struct(F.lit(p).alias("param"), at.alias("at"), till.alias("till"), F.transform(stay, lambda f: f["b"]).alias("kept"))
+
+        return F.transform(F.col(f"_starts_{p}"), kept)
+
+    crops = _per_crop(boxes).join(truth, "crop").select("digits", *[flips(p).alias(f"_{p}") for p in grid])
+    crops = crops.select("*", *[starts(p).alias(f"_starts_{p}") for p in grid])
+    rows = crops.select("digits", F.inline(F.flatten(F.array(*map(stretches, grid)))))
+    rows = rows.withColumn("_least", F.array_max(F.transform("kept", h)) * F.lit(SPECK))
+    rows = rows.withColumn("n", _merged_count(F.filter("kept", lambda b: h(b) >= F.col("_least"))))
+    n, length = F.col("n"), F.col("digits")
+    told = rows.groupBy("param", "at", "till").agg(
+        F.count_if(n == length).alias("r"), F.count_if((n == 0) & (length != 0)).alias("z"), F.count_if(n > length).alias("o")
+    )
+    # What holds from a setting up to another is added at the one and taken off at the other.
+    ends = F.array(*[F.struct(F.col(at).alias("k"), *[(F.col(c) * sign).alias(f"d_{c}") for c in "rzo"]) for at, sign in (("at", 1), ("till", -1))])
+    changes = told.select("param", F.inline(ends)).groupBy("param", F.col("k").alias("at")).agg(*[F.sum(f"d_{c}").alias(c) for c in "rzo"])
     table = [(p, k, v) for p, vs in grid.items() for k, v in enumerate(vs)]
     settings = boxes.sparkSession.createDataFrame(table, "param string, at int, setting double")
     along = Window.partitionBy("param").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
