@@ -156,6 +156,10 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 
 def arrow_round_trip(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
-    """Write all documents and give the digest of what the files hold."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, as the files written hold it.
+
+    A null or empty text is the end id alone. Rows without an id come first, rows of one id in the order of their texts; each has
+    its own place. Texts of any length run on over as many sequences as they need. An empty table gives no rows.
+    """
     spark: SparkSession = docs.sparkSession
     return read_documents(write_sequences(docs, path, new_folder(spark, "arrow"), end_id, length))

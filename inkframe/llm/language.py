@@ -199,7 +199,9 @@ def fit(docs: DataFrame) -> Network | None:
     """Learn from labelled documents that aren't held out; None if there are none.
 
     Bounded sample: about `DOCUMENTS` documents of each language chosen by a hash of the id, `PLACES` windows of each, from
-    anywhere in the text, cut out by Spark. The driver trains on them.
+    anywhere in the text, cut out by Spark. The driver trains on them. Rows without an id, a language or a text teach nothing;
+    repeated rows of one id and text are drawn together and count once; an empty table gives None. Every language named takes a
+    row of counts to the driver, so languages are meant to be names, not free text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~is_held_out())
@@ -265,4 +267,9 @@ def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
 
 
 def label_languages(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row, by a network learned from the labelled rows that aren't held out.
+
+    Null, empty and letterless texts are `und` with score 0, as are all where nothing can be learned. Texts of any length are read
+    whole. Equal texts get equal labels, repeated rows and rows without an id one each. An empty table gives no rows.
+    """
     return predict(docs, fit(docs))

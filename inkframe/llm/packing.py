@@ -205,7 +205,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: all documents packed into sequences.
 
     Null or empty text is the end id alone. Repeated rows and null doc_ids are packed as documents of their own. A piece of
-    full length is its own sequence. Sequence ids are any numbers; offsets run from 0 without gaps in uid order.
+    full length is its own sequence. Sequence ids are any numbers; offsets run from 0 without gaps in uid order. A text of any
+    length is cut into as many pieces as it needs, all full but the first. An empty table gives no rows.
     """
     pieces = token_pieces(docs, path, capacity, end_id)
     bins = stored(pack(pieces.where(F.col("length") < capacity).select("uid", "length"), capacity), "bins")
