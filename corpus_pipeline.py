@@ -30,12 +30,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated or left out so that sources have their target weights, in globally random order."""
+    """Documents replicated or left out so that sources have their target weights, in globally random order.
+
+    A null source is a source; rows of one id get the same number of copies each, and those without an id one common draw. Texts
+    aren't looked at. No documents give none.
+    """
     return mixing.mix_sources(docs).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, copies included, packed into sequences of 2048 tokens."""
+    """All documents, copies included, packed into sequences of 2048 tokens. A null or empty text is the end id alone; a text of any
+    length is cut into pieces; rows without an id are documents too. No documents give no pieces."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
