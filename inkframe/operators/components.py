@@ -219,14 +219,18 @@ def _tall_bar(height: Column) -> Column:
     return F.least(F.lit(TALL_CEILING), F.greatest(F.lit(TALL_LEAST), half_up(height * F.lit(TALL_FRAC))))
 
 
-def box_verdict(marks: DataFrame, width: int, height: int) -> DataFrame:
-    """Is there handwriting in the box? A tall mark, or enough ink in all. A blank box has none."""
+def box_verdict(marks: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
+    """Is there handwriting in the box? A tall mark, or enough ink in all. A blank box has none.
+
+    The size is one for all boxes, or a column of the marks that is the same on all of a box.
+    """
+    width, height = (F.max(F.lit(s)) for s in (width, height))
     tall = F.coalesce(F.max(F.col("max_y") - F.col("min_y") + 1), F.lit(0))
     mass = F.coalesce(F.sum("ink"), F.lit(0))
-    enough = min(MASS_CEILING, width * height * MASS_FRAC)
+    enough = F.least(F.lit(float(MASS_CEILING)), width * height * F.lit(MASS_FRAC))
     return marks.groupBy("page").agg(
         F.count("label").alias("marks"), tall.alias("tallest"), mass.alias("mass"),
-        ((tall >= _tall_bar(F.lit(height))) | (mass >= F.lit(float(enough)))).alias("marked"),
+        ((tall >= _tall_bar(height)) | (mass >= enough)).alias("marked"),
     )
 
 
@@ -238,7 +242,7 @@ def inset_rows(lines: DataFrame, height: int, frac: float = STRIP_INSET) -> Data
     return lines.filter((F.col("y") >= dy) & (F.col("y") < height - dy)).withColumn("y", F.col("y") - dy)
 
 
-def strip_verdict(marks: DataFrame, height: int) -> DataFrame:
+def strip_verdict(marks: DataFrame, height: int | Column) -> DataFrame:
     """Does the strip hold something to read? A spread of tall marks, or one heavy mark. A blank strip holds none."""
     is_tall = (F.col("max_y") - F.col("min_y") + 1) >= _tall_bar(F.lit(height))
     strokes = F.count_if(is_tall)
@@ -259,7 +263,7 @@ def _h() -> Column:
     return F.col("max_y") - F.col("min_y") + 1
 
 
-def shape_reasons(boxes: DataFrame, crop_height: int = 58) -> DataFrame:
+def shape_reasons(boxes: DataFrame, crop_height: int | Column = 58) -> DataFrame:
     """Which shape rules a box breaks: `bar`, `hollow`, `short`."""
     reasons = F.array_compact(F.array(
         F.when(_w() / _h() > BAR, "bar"),
@@ -269,7 +273,7 @@ def shape_reasons(boxes: DataFrame, crop_height: int = 58) -> DataFrame:
     return boxes.withColumn("reasons", reasons)
 
 
-def shape_filter(boxes: DataFrame, crop_height: int = 58) -> DataFrame:
+def shape_filter(boxes: DataFrame, crop_height: int | Column = 58) -> DataFrame:
     """Keep boxes shaped like digits, then drop specks beside the tallest that is left."""
     kept = shape_reasons(boxes, crop_height).filter(F.size("reasons") == 0).drop("reasons")
     tallest = F.max(_h()).over(Window.partitionBy("crop"))
