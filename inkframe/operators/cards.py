@@ -92,7 +92,8 @@ def judge_cells(crops: DataFrame) -> DataFrame:
     inked = readings.ink_floor(shares)
     looked = crops.filter(F.col("kind") != STRIP).join(inked.select("page", "item_row"), ["page", "item_row"], "left_semi")
     marks = components.find_marks(raster.ink_mask(looked.select(F.col("crop").alias("page"), "y", "px")))
-    marks = marks.join(crop_sizes(looked).withColumnRenamed("crop", "page"), "page")
+    # Both verdicts read them; a box and its ink are little beside the crop they come from.
+    marks = cut_lineage(marks.join(crop_sizes(looked).withColumnRenamed("crop", "page"), "page"))
     kind, w, h = F.col("page") % KINDS, F.col("w"), F.col("h")
 
     def verdicts(judged: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import components, evaluate, tally
+from ..operators import cards, components, evaluate, tally
 from . import views
 from .rasters import slide
 from .registry import query
@@ -301,3 +301,68 @@ FROM (SELECT DISTINCT page FROM raster) p LEFT JOIN e USING (page)""", "raster")
 def q_edge(spark, sf_dir):
     mask = dark(spark, sf_dir, 170)
     return tally.touches_side(mask, tally.vertical_rules(mask, PAGE_W, PAGE_H), PAGE_W)
+
+
+# ------------------------------------------------------------------ cells of a page
+FAINT = 24
+SQL["cell_boxes"] = (("cells_map", "excl"), """
+  SELECT page, item_row, 16 + (cell * 7) % 8 AS bx, (cell * 5) % 36 AS y, 28 + cell % 4 AS sw, 10 + cell % 4 AS h FROM cells_map c
+  WHERE NOT EXISTS (SELECT 1 FROM excl e WHERE e.page = c.page AND 16 + (c.cell * 7) % 8 < e.x + e.w AND 24 + (c.cell * 7) % 8 > e.x
+                    AND (c.cell * 5) % 36 < e.y + e.h AND (c.cell * 5) % 36 + 10 + c.cell % 4 > e.y)""")
+SQL["cell_regions"] = (("cell_boxes",), """
+  SELECT page, item_row, 0 AS kind, bx AS x0, y AS y0, bx + 8 AS x1, y + h AS y1 FROM cell_boxes
+  UNION ALL SELECT page, item_row, 1, 0, y, sw, y + h FROM cell_boxes
+  UNION ALL SELECT page, item_row, 2, 0, y + floor(h * 0.1e0 + 0.5e0), sw, y + h - floor(h * 0.1e0 + 0.5e0) FROM cell_boxes""")
+SQL["crop_px"] = (("cell_regions", "raster"), f"""
+  SELECT (r.page * {cards.ROWS} + item_row) * {cards.KINDS} + kind AS page, x - x0 AS x, CAST(r.y - y0 AS BIGINT) AS y,
+         CASE WHEN v < {FAINT} THEN v ELSE 255 END AS v
+  FROM raster r JOIN cell_regions c ON c.page = r.page AND x >= x0 AND x < x1 AND r.y >= y0 AND r.y < y1""")
+SQL["crop_size"] = (("crop_px",), "SELECT page, max(x) + 1 AS w, max(y) + 1 AS h FROM crop_px GROUP BY page")
+SQL["crop_paper"] = (("crop_px",), f"SELECT * FROM {slide('crop_px', 9)}")
+SQL["crop_raw"] = (("crop_px", "crop_paper"), """
+  SELECT r.page, r.x, r.y, CASE WHEN p.v - r.v >= 22 THEN 1 ELSE 0 END AS v FROM crop_px r JOIN crop_paper p USING (page, x, y)""")
+SQL["crop_ink"] = (("crop_raw", "crop_size"), """
+  SELECT i.page, i.x, i.y, CASE WHEN rr.y IS NOT NULL OR cc.x IS NOT NULL THEN 0 ELSE i.v END AS v FROM crop_raw i
+  LEFT JOIN (SELECT page, y FROM (SELECT *, count(*) OVER (PARTITION BY page, g) AS n FROM (
+      SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS g
+      FROM crop_raw GROUP BY page, y HAVING sum(v) >= count(*) * 0.5e0)) WHERE n <= 6) rr ON rr.page = i.page AND rr.y = i.y
+  LEFT JOIN (SELECT page, x FROM (SELECT *, count(*) OVER q AS n, min(x) OVER q AS a, max(x) OVER q AS b FROM (
+      SELECT page, x, x - row_number() OVER (PARTITION BY page ORDER BY x) AS g
+      FROM crop_raw GROUP BY page, x HAVING sum(v) >= count(*) * 0.5e0) WINDOW q AS (PARTITION BY page, g)) JOIN crop_size s USING (page)
+      WHERE n <= 6 AND (a < greatest(2, floor(w * 0.25e0 + 0.5e0)) OR b >= w - greatest(2, floor(w * 0.25e0 + 0.5e0)))) cc
+    ON cc.page = i.page AND cc.x = i.x""")
+SQL["crop_grown"] = (("crop_ink",), f"SELECT page, x, y FROM {slide('crop_ink', 2)} WHERE v = 1 AND page % {cards.KINDS} <> 1")
+
+
+@query("q_cells", with_views(f"""WITH RECURSIVE {_reach("crop_grown")},
+m0 AS (SELECT p.page, label, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM px p JOIN lab USING (page, id)
+       GROUP BY p.page, label HAVING count(*) >= 4),
+m AS (SELECT m0.*, max_y - min_y + 1 AS tall, least(20, greatest(6, floor(h * 0.25e0 + 0.5e0))) AS bar, w * h * 0.01e0 AS least_ink,
+        (SELECT count(*) FROM crop_ink i WHERE i.page = m0.page AND i.v = 1 AND i.x BETWEEN min_x AND max_x AND i.y BETWEEN min_y AND max_y) AS ink
+      FROM m0 JOIN crop_size USING (page)),
+j AS (SELECT page // {cards.KINDS} AS cell, page % {cards.KINDS} AS kind,
+        max(tall) >= max(bar) OR sum(ink) >= least(90, max(least_ink)) AS boxed,
+        (count(*) FILTER (tall >= bar) >= 2 AND coalesce(max(max_x) FILTER (tall >= bar) - min(min_x) FILTER (tall >= bar) >= 25, false))
+          OR max(ink) >= 250 AS stripped
+      FROM m GROUP BY page),
+s AS (SELECT page // {cards.KINDS} AS cell,
+        round(coalesce(avg(CASE WHEN v < 170 THEN 1e0 ELSE 0e0 END) FILTER (page % {cards.KINDS} = 0), 0), 9) AS ink,
+        round(coalesce(avg(CASE WHEN v < 170 THEN 1e0 ELSE 0e0 END) FILTER (page % {cards.KINDS} = 1), 0), 9) AS tally_ink
+      FROM crop_px GROUP BY page // {cards.KINDS})
+SELECT s.cell // {cards.ROWS} AS page, s.cell % {cards.ROWS} AS item_row, ink, tally_ink, coalesce(b.boxed, false) AS has_value,
+       NOT coalesce(b.boxed, false) AS tally_only
+FROM s LEFT JOIN j b ON b.cell = s.cell AND b.kind = 0 LEFT JOIN j t ON t.cell = s.cell AND t.kind = 2
+WHERE NOT (ink < 0.008e0 AND tally_ink < 0.008e0) AND (coalesce(b.boxed, false) OR coalesce(t.stripped, false))""", "crop_grown", "crop_size", "crop_px"))
+def q_cells(spark, sf_dir):
+    """Cells that somebody must look at, cut from every page by a map of its own: boxes, strips beside them, and exclusions."""
+    lines = views.scanlines(spark, sf_dir).withColumn(
+        "px", F.transform("px", lambda v: F.when(v < FAINT, v).otherwise(F.lit(255).cast("smallint"))))
+    cell = F.col("cell")
+    maps = views.cells_map(spark, sf_dir).select(
+        F.col("page").alias("side"), "item_row", (cell * 7 % 8 + 16).alias("total_x"), (cell * 5 % 36).alias("total_y"),
+        F.lit(8).alias("total_w"), (cell % 4 + 10).alias("total_h"), F.lit(0).alias("tally_x"), (cell * 5 % 36).alias("tally_y"),
+        (cell % 4 + 28).alias("tally_w"), (cell % 4 + 10).alias("tally_h"),
+    )
+    pages = maps.select(F.col("side").alias("page"), "side").distinct()
+    excluded = views.excl(spark, sf_dir).withColumnRenamed("page", "side")
+    return cards.read_cells(lines, pages, maps, exclusions=excluded).select("page", "item_row", "ink", "tally_ink", "has_value", "tally_only")
