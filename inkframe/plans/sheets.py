@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import export, labels, quality, readings
+from ..operators.ordered import tasks_for
 from ..session import ensure_checkpoint_dir
 from ..sources import tables
 from ..sources.tables import label_key
@@ -50,11 +51,13 @@ def jobs(spark, sf_dir):
 
 
 def job_values(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(
+    li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("event"), (F.col("l_suppkey") % 76 + 1).alias("card"),
-        (F.col("l_partkey") % 93 + 18).alias("item_row"),
-    ).agg(
-        (F.max(whole("l_quantity")) - 1).alias("value"),
+        (F.col("l_partkey") % 93 + 18).alias("item_row"), "l_partkey", whole("l_quantity").alias("q"), "l_returnflag",
+    )
+    keys = ["event", "card", "item_row"]
+    return views.dealt(li, *keys).groupBy(*keys).agg(
+        (F.max("q") - 1).alias("value"),
         ((F.max("l_partkey") % 100) / F.lit(100.0)).alias("confidence"),
         F.when(F.bool_or(F.col("l_returnflag") == "R"), "manual").otherwise("recognized").alias("source"),
     )
@@ -107,7 +110,7 @@ SELECT event, item_row, """ + ", ".join(
     f'CAST(sum(value) FILTER (card = {i - 2}) AS BIGINT) AS "{export._letters(i)}"' for i in range(3, 79)
 ) + " FROM reads GROUP BY event, item_row", "reads"))
 def q_wide(spark, sf_dir):
-    return export.wide_datasheet(readings.with_reading(views.readings(spark, sf_dir)))
+    return export.wide_datasheet(readings.with_reading(views.readings(spark, sf_dir, by=("event", "item_row"))))
 
 
 @query("q_provenance", with_views(f"""
@@ -145,7 +148,9 @@ def q_roundtrip(spark, sf_dir):
     # One pass instead of two set differences: each row is counted on both sides.
     both = values.select("*", F.lit(1).alias("w"), F.lit(0).alias("r")).unionByName(
         back.select("*", F.lit(0).alias("w"), F.lit(1).alias("r"))
-    ).groupBy(*keys, "value").agg(F.sum("w").alias("w"), F.sum("r").alias("r"))
+    )
+    tasks = 2 * tasks_for(table(spark, sf_dir, "lineitem"))
+    both = both.repartition(tasks, *keys).groupBy(*keys, "value").agg(F.sum("w").alias("w"), F.sum("r").alias("r"))
     return both.groupBy("event").agg(
         F.sum("w").alias("written"), F.sum("r").alias("read_back"),
         F.sum(F.when(F.col("w") != F.col("r"), 1).otherwise(0)).cast("int").alias("differing"),
