@@ -67,23 +67,29 @@ def clamped(rects: DataFrame) -> DataFrame:
     )
 
 
-def ink_fraction(lines: DataFrame, rects: DataFrame, threshold: int = 170) -> DataFrame:
+def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
+def ink_fraction(lines: DataFrame, rects: DataFrame, threshold: int = 170, tasks: int | None = None) -> DataFrame:
     """Share of pixels darker than `threshold` per `(page, cell)`.
 
     Rectangles are opened to one row per line they touch, so the join is on `(page, y)`;
-    pixels outside the rectangles are never exploded.
+    pixels outside the rectangles are never exploded. `tasks` are those that lines and cells are dealt to, else the session's.
     """
     touched = clamped(rects).filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select(
         "page", "cell", "x0", "x1", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y")
     )
     part = F.slice("px", F.col("x0").cast("int") + 1, (F.col("x1") - F.col("x0")).cast("int"))
     counts = (
-        touched.join(lines, ["page", "y"])
+        _dealt(touched, tasks, "page", "y").join(_dealt(lines, tasks, "page", "y"), ["page", "y"])
         .select("page", "cell", F.size(part).alias("n"), F.size(F.filter(part, lambda v: v < threshold)).alias("dark"))
-        .groupBy("page", "cell").agg(F.sum("dark").alias("dark"), F.sum("n").alias("n"))
+    )
+    counts = (
+        _dealt(counts, tasks, "page", "cell").groupBy("page", "cell").agg(F.sum("dark").alias("dark"), F.sum("n").alias("n"))
     )
     fraction = F.when(F.coalesce("n", F.lit(0)) > 0, F.col("dark") / F.col("n")).otherwise(0.0)
-    return rects.select("page", "cell").join(counts, ["page", "cell"], "left").select(
+    return _dealt(rects.select("page", "cell"), tasks, "page", "cell").join(counts, ["page", "cell"], "left").select(
         "page", "cell", F.round(fraction, 9).alias("ink")
     )
 
@@ -203,14 +209,14 @@ def ink_threshold(lines: DataFrame) -> DataFrame:
     return levels.withColumn("threshold", F.when(F.col("paper") - F.col("dark") < 25, -1).otherwise(limit))
 
 
-def composite(lines: DataFrame, group: Column, quantile: float) -> DataFrame:
+def composite(lines: DataFrame, group: Column, quantile: float, tasks: int | None = None) -> DataFrame:
     """Order statistic per pixel over all pages of a group: `(grp, y, x, v)`.
 
     Pixels are counted by level first, so a group of any number of pages comes down to at
-    most 256 rows per pixel.
+    most 256 rows per pixel. With `tasks`, a group's lines of one height meet before they are opened, dealt to that many.
     """
     counts = (
-        lines.select(group.alias("grp"), "y", F.posexplode("px").alias("x", "v"))
+        _dealt(lines.select(group.alias("grp"), "y", "px"), tasks, "grp", "y").select("grp", "y", F.posexplode("px").alias("x", "v"))
         .groupBy("grp", "y", F.col("x").cast("bigint").alias("x"), F.col("v").cast("bigint").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

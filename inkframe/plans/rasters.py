@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import luma
 from ..functions.taxonomy import taxonomy
 from ..operators import calibration, islands, raster
+from ..operators.ordered import tasks_for
 from . import views
 from .registry import query
 from .views import PAGE_H, PAGE_W, SQL, table, with_views
@@ -91,7 +92,8 @@ SELECT c.page, c.cell, round(coalesce(avg(CASE WHEN v < 170 THEN 1e0 ELSE 0e0 EN
 FROM cells_map c LEFT JOIN raster r ON r.page = c.page AND r.x >= total_x AND r.x < total_x + total_w
   AND r.y >= total_y AND r.y < total_y + total_h GROUP BY c.page, c.cell""", "cells_map", "raster"))
 def q_ink_fraction(spark, sf_dir):
-    return raster.ink_fraction(views.scanlines(spark, sf_dir), rects(spark, sf_dir))
+    return raster.ink_fraction(
+        views.scanlines(spark, sf_dir), rects(spark, sf_dir), tasks=tasks_for(table(spark, sf_dir, "lineitem")))
 
 
 @query("q_window", with_views(f"""
@@ -157,7 +159,8 @@ SELECT grp, y, x, s[CAST(least(len(s) - 1, floor(len(s) * 0.2e0)) AS BIGINT) + 1
 FROM (SELECT page // 10 AS grp, y, x, list_sort(list(v)) AS s FROM raster GROUP BY ALL)""", "raster"))
 def q_composite(spark, sf_dir):
     """Ten pages laid over each other, keeping what is dark on most."""
-    return raster.composite(views.scanlines(spark, sf_dir), F.floor(F.col("page") / 10).cast("bigint"), 0.2)
+    return raster.composite(views.scanlines(spark, sf_dir), F.floor(F.col("page") / 10).cast("bigint"), 0.2,
+                            tasks=tasks_for(table(spark, sf_dir, "lineitem")))
 
 
 def blocks(spark, sf_dir):
