@@ -9,7 +9,7 @@ from inkframe.plans import BUILDS
 
 SF = "/root/testdata/sf0.01"
 #: Exchanges of a query that carry its rows: at least as many, each to 60 tasks of 1,000 of the 60,000 rows.
-DEALT = {"q_quality_events": 1, "q_wide": 1, "q_roundtrip": 2, "q_composite": 2}
+DEALT = {"q_quality_events": 1, "q_wide": 1, "q_roundtrip": 2, "q_composite": 2, "q_ink_fraction": 4}
 
 
 @pytest.mark.parametrize("name", DEALT)
