@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import cards, components, evaluate, tally
+from ..operators.ordered import tasks_for
 from . import views
 from .rasters import slide
 from .registry import query
@@ -365,4 +366,5 @@ def q_cells(spark, sf_dir):
     )
     pages = maps.select(F.col("side").alias("page"), "side").distinct()
     excluded = views.excl(spark, sf_dir).withColumnRenamed("page", "side")
-    return cards.read_cells(lines, pages, maps, exclusions=excluded).select("page", "item_row", "ink", "tally_ink", "has_value", "tally_only")
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    return cards.read_cells(lines, pages, maps, exclusions=excluded, tasks=tasks).select("page", "item_row", "ink", "tally_ink", "has_value", "tally_only")
