@@ -30,7 +30,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], MANIFEST)
+        # Not from a list of Python's, which starts a worker on every core.
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (column.split() for column in MANIFEST.split(", "))])
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
